@@ -73,23 +73,29 @@ def global_running_total(
     ).drop("_all")
 
 
-def hot_key_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join of many left rows to few right rows a key, with the hot keys of the left split.
+def hot_key_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None
+) -> DataFrame:
+    """Join many left rows to few right rows a key ('inner' or 'left'), with the left's hot keys split.
 
     A hot key is cut into as many slices as it holds thousandths of the left rows; its right rows are
-    repeated once a slice. Other keys keep one slice, so at most 2 * HOT_SHARE copies are added.
+    repeated once a slice. Other keys keep one slice, so at most 2 * HOT_SHARE slices are added.
+    `counts` (key, n) saves the counting pass where left rows a key are known already; it only steers
+    the slicing, so near counts do.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("total")).select("total").scalar()
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(key, F.col("n").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("total")).scalar()
     hot = counts.filter(F.col("_n") * HOT_SHARE > total).select(
         key, F.ceil(F.col("_n") * HOT_SHARE / total).cast("int").alias("_slices")
     )
     others = [c for c in left.columns if c != key]
-    slice_of = F.pmod(F.xxhash64(*others, F.lit(1)), F.coalesce("_slices", F.lit(1)))
-    cut = left.join(F.broadcast(hot), key, "left").withColumn("_slice", slice_of.cast("int")).drop("_slices")
-    copies = (
-        right.join(F.broadcast(hot), key, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-        .drop("_slices")
+    slices = F.coalesce("_slices", F.lit(1))
+    cut = left.join(F.broadcast(hot), key, "left").withColumn(
+        "_slice", F.pmod(F.xxhash64(*others, F.lit(1)), slices).cast("int")
+    )
+    copies = right.join(F.broadcast(hot), key, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     )
-    return cut.join(copies, [key, "_slice"]).drop("_slice")
+    return cut.drop("_slices").join(copies.drop("_slices"), [key, "_slice"], how).drop("_slice")

@@ -6,16 +6,16 @@ SPAN = 1 << 60
 
 ORDERS = """
 o AS (
-  SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS at,
+  SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS moment,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n,
          count(*) OVER (PARTITION BY o_custkey) AS total,
          lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_at
   FROM orders),
 ord AS (
   SELECT order_id, user_id, CASE WHEN n = total AND total >= 2 THEN 'train' ELSE 'prior' END AS eval_set,
-         CAST(n AS INT) AS order_number, CAST(dayofweek(at) AS INT) AS order_dow,
+         CAST(n AS INT) AS order_number, CAST(dayofweek(moment) AS INT) AS order_dow,
          CAST(order_id % 24 AS INT) AS order_hour_of_day,
-         CAST(date_diff('day', previous_at, at) AS DOUBLE) AS days_since_prior_order
+         CAST(date_diff('day', previous_at, moment) AS DOUBLE) AS days_since_prior_order
   FROM o)"""
 
 LINES = ORDERS + """,
@@ -99,7 +99,7 @@ def outside(lines: str) -> str:
 items AS (SELECT count(*) AS n, min(p_partkey) AS first FROM part),
 own AS (
   SELECT order_id, list(product_id ORDER BY product_id) AS basket,
-         list_transform(list(product_id - first ORDER BY product_id), (v, i) -> v - (i - 1)) AS starts,
+         list_transform(list(product_id - first ORDER BY product_id), lambda v, i: v - (i - 1)) AS starts,
          any_value(n) - count(*) AS free, any_value(first) AS first
   FROM {lines}, items GROUP BY order_id),
 positive AS (SELECT order_id, starts, free, first, unnest(basket) AS product_id FROM own)"""
@@ -110,28 +110,28 @@ uniform AS (
   SELECT order_id, product_id,
          list_transform(
            list_transform(CASE WHEN free > 0 THEN range(1, 21) ELSE [] END,
-                          d -> {draw("uni", "order_id", "product_id", "d")} % free),
-           p -> p + len(list_filter(starts, s -> s <= p)) + first) AS negatives
+                          lambda d: {draw("uni", "order_id", "product_id", "d")} % free),
+           lambda p: p + len(list_filter(starts, lambda s: s <= p)) + first) AS negatives
   FROM positive),
 cand AS (
   SELECT order_id, product_id, {text("list_append(negatives, product_id)")} AS candidates,
-         {text("list_append(list_transform(negatives, x -> 0), 1)")} AS labels
+         {text("list_append(list_transform(negatives, lambda x: 0), 1)")} AS labels
   FROM uniform)"""
 
 DISTINCT = LINES + outside("ctx") + f""",
 steps AS (
   SELECT order_id, product_id, starts, free, first,
          list_transform(range(free - least(120, free), free),
-                        j -> [j, {draw("neg", "order_id", "product_id", "j")} % (j + 1)]) AS steps
+                        lambda j: [j, {draw("neg", "order_id", "product_id", "j")} % (j + 1)]) AS steps
   FROM positive),
 taken AS (
   SELECT order_id, product_id, starts, first,
-         list_reduce(steps, (acc, s) -> list_append(acc, CASE WHEN list_contains(acc, s[2]) THEN s[1] ELSE s[2] END),
+         list_reduce(steps, lambda acc, s: list_append(acc, CASE WHEN list_contains(acc, s[2]) THEN s[1] ELSE s[2] END),
                      CAST([] AS BIGINT[])) AS positions
   FROM steps),
 negative AS (
   SELECT order_id, product_id,
-         list_transform(positions, p -> p + len(list_filter(starts, s -> s <= p)) + first) AS negatives
+         list_transform(positions, lambda p: p + len(list_filter(starts, lambda s: s <= p)) + first) AS negatives
   FROM taken)"""
 
 POPULAR = LINES + f""",
@@ -155,7 +155,7 @@ drawn AS (
   FROM pri JOIN cuts USING (order_id), total, range(1, 21) t(d)),
 moved AS (
   SELECT order_id, product_id, d,
-         CAST(x + coalesce(list_sum(masses[1:len(list_filter(starts, s -> s <= x))]), 0) AS BIGINT) AS x FROM drawn),
+         CAST(x + coalesce(list_sum(masses[1:len(list_filter(starts, lambda s: s <= x))]), 0) AS BIGINT) AS x FROM drawn),
 found AS (
   SELECT order_id, moved.product_id, d, line_of_mass.product_id AS candidate
   FROM moved ASOF JOIN line_of_mass ON moved.x >= line_of_mass.low)"""
@@ -226,7 +226,7 @@ ranked AS (
 
 CLICKS = """
 log AS (
-  SELECT event_id, CAST(event_type = 'click' AS INT) AS click, ts AS at, value, user_id,
+  SELECT event_id, CAST(event_type = 'click' AS INT) AS click, ts AS moment, value, user_id,
          CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(floor(value / 10) AS INT) AS value_bucket,
          CAST(isodow(ts) - 1 AS INT) AS weekday, CAST(hour(ts) AS INT) AS hour_of_day, CAST(day(ts) AS INT) AS day,
          CAST(year(ts) AS INT) AS year, CAST(month(ts) // 4 AS INT) AS month_b, CAST(day(ts) // 11 AS INT) AS day_b,
@@ -414,7 +414,7 @@ FROM found GROUP BY order_id, product_id"""
     chained = f"SELECT order_id, user_id, last_order_id, {text('last_basket')} AS last_basket, {text('basket')} AS basket"
     q["prev_basket"] = f"WITH {CHAIN_PRIOR} {chained} FROM filled"
     q["prev_basket_eval"] = f"WITH {CHAIN_TRAIN} {chained} FROM filled"
-    padded = "list_transform(range(1, 146), i -> CASE WHEN i <= len(last_basket) THEN last_basket[i] + 1 ELSE 0 END)"
+    padded = "list_transform(range(1, 146), lambda i: CASE WHEN i <= len(last_basket) THEN last_basket[i] + 1 ELSE 0 END)"
     q["next_basket_train"] = f"""WITH {CHAIN_PRIOR}{DAYS}{UNIFORM[len(LINES):]}
 SELECT order_id, dow_idx, hod_idx, days_z, hist_len, {text(padded)} AS hist_padded, product_id, candidates, labels
 FROM contexts JOIN cand USING (order_id)"""
@@ -430,10 +430,10 @@ SELECT event_id, year, month_b, day_b, hour_b, day, hour_of_day AS hour, weekday
     q["ctr_column_profile"] = f"""WITH {CLICKS}, p AS ({profile})
 SELECT name AS "column", n AS n_distinct, CAST(n > 1 AND n < 20 AS INT) AS keep_small,
        CAST(n < 10000 AS INT) AS keep_medium, CASE WHEN n > 100 THEN 'high' ELSE 'low' END AS size_class FROM p"""
-    q["ctr_label_encoded"] = label_codes("at < TIMESTAMP '2024-01-25'")
+    q["ctr_label_encoded"] = label_codes("moment < TIMESTAMP '2024-01-25'")
     q["ctr_label_encoded_all"] = label_codes("true")
     q["ctr_first_seen_encoded"] = f"""WITH {CLICKS},
-c AS (SELECT user_id, row_number() OVER (ORDER BY min(at), user_id) - 1 AS code FROM log GROUP BY user_id)
+c AS (SELECT user_id, row_number() OVER (ORDER BY min(moment), user_id) - 1 AS code FROM log GROUP BY user_id)
 SELECT event_id, code FROM log JOIN c USING (user_id)"""
     days = ", ".join(f"CAST(weekday = {i} AS INT) AS weekday_{i}" for i in range(7))
     q["ctr_dummies"] = f"WITH {CLICKS} SELECT event_id, click, {days} FROM log"

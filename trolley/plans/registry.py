@@ -103,13 +103,13 @@ def hot_recall_metric(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def item_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    found = itemcf.pairs(views.prior(views.lines(spark, sf)), reorder_weight=1)
+    found = itemcf.pairs(staged(views.prior(views.lines(spark, sf)), "lines"), reorder_weight=1)
     return found.select("product_id1", "product_id2", r6("pair_weight"))
 
 
 @query
 def itemcf_sim(spark: SparkSession, sf: str) -> DataFrame:
-    found = itemcf.similarity(views.prior(views.lines(spark, sf)), reorder_weight=1)
+    found = itemcf.similarity(staged(views.prior(views.lines(spark, sf)), "lines"), reorder_weight=1)
     return found.select("product_id", "sim_product_id", r6("sim"), "rank")
 
 
