@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 HOT_SHARE = 1000
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into the session's full number of shuffle partitions.
+
+    For steps whose work per row is far above its size: the adaptive planner merges partitions by
+    size and would leave such a step with too few tasks. A grouping on the keys reuses the partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], coarse: Column, order: Sequence[Column], value: Column, out: str
 ) -> DataFrame:
