@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.functions.dates import hour_parts
 from trolley.functions.draws import keep
-from trolley.operators.spread import range_number, running_total, split_points
+from trolley.operators.spread import ROWS_PER_RANGE, range_number, running_total, split_points
 
 FEW, MANY, HIGH = 20, 10_000, 100
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1, 3, 10)
@@ -69,20 +69,33 @@ def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
     which bounds every code table that is broadcast.
     """
     seen = df if fit is None else fit
-    wide = set(columns) - set(select_columns(seen, columns))
+    sizes = {r["column"]: r["n_distinct"] for r in column_profile(seen, columns).collect()}
+    wide = [c for c in columns if sizes[c] >= MANY]
     if wide:
-        raise ValueError(f"columns with {MANY} or more values cannot be coded: {sorted(wide)}")
-    for column in columns:
-        values = seen.select(column).filter(F.col(column).isNotNull()).distinct()
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1
-        codes = values.select(column, place.alias("_code"))
-        unknown = codes.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-        coded = df.join(F.broadcast(codes), column, "left").withColumn(column, F.coalesce("_code", unknown))
-        df = coded.drop("_code").select(*df.columns)
+        raise ValueError(f"columns with {MANY} or more values cannot be coded: {wide}")
+    # One pass gives the values of all columns; numbers sort as numbers and text as text.
+    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    fields = [
+        F.struct(
+            F.lit(c).alias("column"),
+            (F.lit(None) if c in texts else F.col(c)).cast("double").alias("number"),
+            (F.col(c) if c in texts else F.lit(None)).cast("string").alias("text"),
+        )
+        for c in columns
+    ]
+    values = seen.select(F.inline(F.array(*fields))).filter("number is not null or text is not null").distinct()
+    place = F.row_number().over(Window.partitionBy("column").orderBy("number", "text")) - 1
+    codes = values.withColumn("_code", place)
+    for c in columns:
+        own = codes.filter(F.col("column") == c).select(
+            F.col("text" if c in texts else "number").cast(df.schema[c].dataType).alias(c), "_code"
+        )
+        coded = df.join(F.broadcast(own), c, "left").withColumn(c, F.coalesce("_code", F.lit(sizes[c]).cast("int")))
+        df = coded.select(*df.columns)
     return df
 
 
-def first_seen_codes(df: DataFrame, column: str, at: str, rows_per_range: int = 1_000_000) -> DataFrame:
+def first_seen_codes(df: DataFrame, column: str, at: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Number values 0, 1, ... by first appearance (then by value): (column, code)."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(at).alias("_first"))
     first = first.withColumn("_moment", F.unix_micros(F.col("_first").cast("timestamp_ltz"))).withColumn("_all", F.lit(0))

@@ -6,6 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trolley.functions.arrays import count_at_most, probe_steps
+
+# Global orders are cut into at most this many ranges, so tables of ranges are small by construction.
+MOST_RANGES = 1024
+ROWS_PER_RANGE = 1_000_000
 # A key is hot when it holds more than 1/HOT_SHARE of the rows. There are fewer than HOT_SHARE such
 # keys whatever the data, which bounds the table of hot keys that is broadcast.
 HOT_SHARE = 1000
@@ -46,24 +51,21 @@ def running_total(
     )
 
 
-def split_points(df: DataFrame, value: Column, rows_per_range: int = 1_000_000, most: int = 4096) -> list:
+def split_points(df: DataFrame, value: Column, rows_per_range: int = ROWS_PER_RANGE) -> list:
     """Ascending cut points that divide a numeric column into ranges of about equal size.
 
-    One aggregate pass; at most `most` numbers reach the driver. A small table gives no cut.
+    One aggregate pass; at most MOST_RANGES numbers reach the driver. A small table gives no cut.
     """
-    n = df.count()
-    ranges = min(most, -(-n // rows_per_range))
+    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    n, cuts = df.agg(F.count(value), F.percentile_approx(value, shares, 10 * MOST_RANGES)).first()
+    ranges = min(MOST_RANGES, -(-n // rows_per_range))
     if ranges <= 1:
         return []
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(value, shares, 10 * most).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts))
+    return sorted({cuts[i * MOST_RANGES // ranges - 1] for i in range(1, ranges)})
 
 
 def range_number(value: Column, cuts: list) -> Column:
     """Index of the range a value falls into: the number of cut points below or at it."""
-    from trolley.functions.arrays import count_at_most, probe_steps
-
     if not cuts:
         return F.lit(0)
     points = F.array(*[F.lit(c) for c in cuts])
@@ -71,11 +73,11 @@ def range_number(value: Column, cuts: list) -> Column:
 
 
 def global_running_total(
-    df: DataFrame, order: str, value: Column, out: str, rows_per_range: int = 1_000_000
+    df: DataFrame, order: str, value: Column, out: str, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Sum of `value` over all rows with a smaller `order` (a unique numeric column).
 
-    Ranges are cut at quantiles. The window over ranges sees one row a range, 4096 at most.
+    Ranges are cut at quantiles. The window over ranges sees one row a range, MOST_RANGES at most.
     """
     cuts = split_points(df, F.col(order), rows_per_range)
     return running_total(

@@ -370,7 +370,7 @@ def _ctr_sets(spark: SparkSession, sf: str):
 
 
 def _ctr_result(name: str, scored: DataFrame) -> DataFrame:
-    return evaluate.auc(scored, "click", "score").select(F.lit(name).alias("model"), r6("auc"))
+    return evaluate.auc(staged(scored, "scores"), "click", "score").select(F.lit(name).alias("model"), r6("auc"))
 
 
 @query
