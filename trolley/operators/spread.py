@@ -56,8 +56,9 @@ def split_points(df: DataFrame, value: Column, rows_per_range: int = ROWS_PER_RA
 
     One aggregate pass; at most MOST_RANGES numbers reach the driver. A small table gives no cut.
     """
-    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    n, cuts = df.agg(F.count(value), F.percentile_approx(value, shares, 10 * MOST_RANGES)).first()
+    shares = ", ".join(f"{i / MOST_RANGES}D" for i in range(1, MOST_RANGES))
+    sketch = f"percentile_approx(v, array({shares}), {10 * MOST_RANGES})"
+    n, cuts = df.select(value.alias("v")).selectExpr("count(v)", sketch).first()
     ranges = min(MOST_RANGES, -(-n // rows_per_range))
     if ranges <= 1:
         return []

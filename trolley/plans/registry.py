@@ -287,10 +287,9 @@ def _pair_scorer(spark: SparkSession, sf: str, dim: int = 16):
     items = vectors.fit_item_vectors(baskets.sequences(history), dim=dim, partitions=8)
     items = staged(items, "item_vectors")
     days = stats.days_stats(orders.filter(F.col("eval_set") == "prior"))
-    past = features.with_context_features(baskets.next_basket(orders, history, held_out, "prior"), days)
-    candidates = sampling.uniform_negatives(history, views.products(spark, sf))
-    rows = staged(scorer.pair_rows(past, candidates, items), "pairs")
-    model = scorer.fit(rows, dim)
+    past = staged(features.with_context_features(baskets.next_basket(orders, history, held_out, "prior"), days), "past")
+    candidates = staged(sampling.uniform_negatives(history, views.products(spark, sf)), "candidates")
+    model = scorer.fit(scorer.pair_rows(past, candidates, items), dim)
     target = features.with_context_features(baskets.next_basket(orders, history, held_out, "train"), days)
     return scorer.recall(model, target, items), held_out
 
