@@ -45,6 +45,11 @@ def lat_cell(lat: Column, precision: int) -> Column:
     return _axis_cell(lat, -90.0, 180.0, axis_bits(precision)[1])
 
 
+def cell_number(x: Column, y: Column, precision: int) -> Column:
+    """Grid coordinates as one number, a single join key."""
+    return x * F.lit(1 << axis_bits(precision)[1]).cast("bigint") + y
+
+
 def cell_text(x: Column, y: Column, precision: int) -> Column:
     """Geohash text of grid coordinates: bits interleaved longitude first, five to a character."""
     x_bits, y_bits = axis_bits(precision)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trolley.functions import geocells as g
+from trolley.operators.spread import hot_key_join
 from trolley.operators.topk import top_k
 
 
@@ -72,10 +73,11 @@ def proximity_join(left: DataFrame, right: DataFrame, precision: int) -> DataFra
     counts = with_cell(right, precision).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     near = (
         spread_over_block(counts, precision)
-        .groupBy("x", "y")
+        .groupBy(g.cell_number(F.col("x"), F.col("y"), precision).alias("cell"))
         .agg(F.sum(F.col("n") * F.col("here")).alias("n_same_cell"), F.sum("n").alias("n_nearby"))
     )
-    return with_cell(left, precision).join(near, ["x", "y"], "left").select(
+    placed = with_cell(left, precision).select("id", g.cell_number(F.col("x"), F.col("y"), precision).alias("cell"))
+    return hot_key_join(placed, near, "cell", "left").select(
         "id",
         F.coalesce("n_same_cell", F.lit(0)).alias("n_same_cell"),
         F.coalesce("n_nearby", F.lit(0)).alias("n_nearby"),

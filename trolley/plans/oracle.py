@@ -52,7 +52,7 @@ pair AS (
   FROM w a JOIN w b ON a.order_id = b.order_id AND a.product_id < b.product_id GROUP BY ALL),
 norm AS (SELECT product_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY ALL),
 one_way AS (
-  SELECT product_id1, product_id2, pair_weight / (x.norm * y.norm) AS sim
+  SELECT product_id1, product_id2, round(pair_weight / (x.norm * y.norm), 9) AS sim
   FROM pair JOIN norm x ON x.product_id = product_id1 JOIN norm y ON y.product_id = product_id2),
 two_way AS (
   SELECT product_id1 AS product_id, product_id2 AS sim_product_id, sim FROM one_way

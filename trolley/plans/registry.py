@@ -284,12 +284,13 @@ def _pair_scorer(spark: SparkSession, sf: str, dim: int = 16):
     lines = staged(views.lines(spark, sf), "lines")
     orders = staged(views.orders(spark, sf), "orders")
     history, held_out = views.prior(lines), views.train(lines)
+    products = views.products(spark, sf)
     items = vectors.fit_item_vectors(baskets.sequences(history), dim=dim, partitions=8)
-    items = staged(items, "item_vectors")
+    items = staged(vectors.with_group_vectors(items, products), "item_vectors")
     days = stats.days_stats(orders.filter(F.col("eval_set") == "prior"))
     past = staged(features.with_context_features(baskets.next_basket(orders, history, held_out, "prior"), days), "past")
-    candidates = staged(sampling.uniform_negatives(history, views.products(spark, sf)), "candidates")
-    model = scorer.fit(scorer.pair_rows(past, candidates, items), dim)
+    candidates = staged(sampling.uniform_negatives(history, products), "candidates")
+    model = scorer.fit(scorer.pair_rows(past, candidates, items), 3 * dim)
     target = features.with_context_features(baskets.next_basket(orders, history, held_out, "train"), days)
     return scorer.recall(model, target, items), held_out
 
