@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.functions.dates import hour_parts
 from trolley.functions.draws import keep
-from trolley.operators.spread import ROWS_PER_RANGE, range_number, running_total, split_points
+from trolley.operators.spread import ROWS_PER_RANGE, global_running_total
 
 FEW, MANY, HIGH = 20, 10_000, 100
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1, 3, 10)
@@ -98,10 +98,8 @@ def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
 def first_seen_codes(df: DataFrame, column: str, at: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Number values 0, 1, ... by first appearance (then by value): (column, code)."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(at).alias("_first"))
-    first = first.withColumn("_moment", F.unix_micros(F.col("_first").cast("timestamp_ltz"))).withColumn("_all", F.lit(0))
-    cuts = split_points(first, F.col("_moment"), rows_per_range)
-    order = [F.col("_moment"), F.col(column)]
-    numbered = running_total(first, ["_all"], range_number(F.col("_moment"), cuts), order, F.lit(1), "code")
+    first = first.withColumn("_moment", F.unix_micros(F.col("_first").cast("timestamp_ltz")))
+    numbered = global_running_total(first, ["_moment", column], F.lit(1), "code", rows_per_range)
     return numbered.select(column, F.col("code").cast("bigint").alias("code"))
 
 

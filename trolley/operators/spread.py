@@ -42,15 +42,18 @@ def running_total(
         .agg(F.sum("_value").alias("_total"))
         .select(*keys, "_coarse", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_carried"))
     )
-    earlier = F.coalesce(F.sum("_value").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
-        tagged.withColumn("_earlier", earlier)
+        tagged.withColumn("_earlier", _sum_before(inner))
         .join(carried, [*keys, "_coarse"])
         .withColumn(out, F.col("_carried") + F.col("_earlier"))
         .drop("_coarse", "_value", "_earlier", "_carried")
     )
 
 
+def _sum_before(ordered) -> Column:
+    return F.coalesce(F.sum("_value").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def split_points(df: DataFrame, value: Column, rows_per_range: int = ROWS_PER_RANGE) -> list:
     """Ascending cut points that divide a numeric column into ranges of about equal size.
 
@@ -65,25 +68,28 @@ def split_points(df: DataFrame, value: Column, rows_per_range: int = ROWS_PER_RA
     return sorted({cuts[i * MOST_RANGES // ranges - 1] for i in range(1, ranges)})
 
 
-def range_number(value: Column, cuts: list) -> Column:
-    """Index of the range a value falls into: the number of cut points below or at it."""
-    if not cuts:
-        return F.lit(0)
-    points = F.array(*[F.lit(c) for c in cuts])
-    return count_at_most(points, probe_steps(F.lit(len(cuts))), value)
-
-
 def global_running_total(
-    df: DataFrame, order: str, value: Column, out: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Sum of `value` over all rows with a smaller `order` (a unique numeric column).
+    """Sum of `value` over all rows earlier in `order`, whose first column is numeric.
 
-    Ranges are cut at quantiles. The window over ranges sees one row a range, MOST_RANGES at most.
+    A table of up to `rows_per_range` rows is summed by one window. A larger one is cut into ranges at
+    quantiles of the first column, and only the ranges' totals, MOST_RANGES rows at most, are summed
+    together.
     """
-    cuts = split_points(df, F.col(order), rows_per_range)
-    return running_total(
-        df.withColumn("_all", F.lit(0)), ["_all"], range_number(F.col(order), cuts), [F.col(order)], value, out
-    ).drop("_all")
+    first = F.col(order[0])
+    cuts = split_points(df, first, rows_per_range)
+    in_order = [F.col(c) for c in order]
+    if not cuts:
+        return (
+            df.withColumn("_value", value).withColumn(out, _sum_before(Window.orderBy(*in_order))).drop("_value")
+        )
+    points = F.array(*[F.lit(c) for c in cuts])
+    return running_total(df, [], count_at_most(points, probe_steps(F.lit(len(cuts))), first), in_order, value, out)
 
 
 def hot_key_join(

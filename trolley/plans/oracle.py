@@ -348,17 +348,17 @@ FROM trn LEFT JOIN hot h USING (order_dow, order_hour_of_day, product_id)
 WHERE (order_dow, order_hour_of_day) IN (SELECT (order_dow, order_hour_of_day) FROM hot)"""
 
     q["item_pairs"] = f"WITH {SIM} SELECT product_id1, product_id2, round(pair_weight, 6) AS pair_weight FROM pair"
-    q["itemcf_sim"] = f"WITH {SIM} SELECT product_id, sim_product_id, round(sim, 6) AS sim, rank FROM sims"
+    q["itemcf_sim"] = f"WITH {SIM} SELECT product_id, sim_product_id, sim, rank FROM sims"
     q["user_triggers"] = f"""WITH {LINES}{TRIGGERS}
 SELECT user_id, product_id, last_order_number, times, rank FROM starts"""
     q["user_triggers_by_times"] = f"""WITH {LINES}{TRIGGERS}
 SELECT user_id, product_id, last_order_number, times, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY times DESC, last_order_number DESC, product_id)
                  AS INT) AS rank FROM bought) WHERE rank <= 20"""
-    q["itemcf_recall"] = f"WITH {ITEMCF} SELECT order_id, product_id, round(score, 6) AS score FROM reached"
+    q["itemcf_recall"] = f"WITH {ITEMCF} SELECT order_id, product_id, score FROM reached"
     q["itemcf_recall_merged"] = f"""WITH {ITEMCF},
 merged AS (SELECT order_id, product_id, sum(score) AS score FROM reached GROUP BY ALL)
-SELECT order_id, product_id, round(score, 6) AS score, rank FROM (
+SELECT order_id, product_id, round(score, 9) AS score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY order_id ORDER BY round(score, 9) DESC, product_id) AS INT) AS rank
   FROM merged) WHERE rank <= 20"""
     q["itemcf_metric"] = f"""WITH {ITEMCF},

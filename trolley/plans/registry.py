@@ -26,6 +26,19 @@ def r6(column: str) -> Column:
     return F.round(F.col(column), 6).alias(column)
 
 
+SLOT_COLUMNS = ["order_id", "product_id", "eval_set", "order_dow", "order_hour_of_day"]
+
+
+def stored_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The lines (or some of their columns) as a stored table, for queries that read them several times."""
+    lines = views.lines(spark, sf)
+    return staged(lines.select(*columns) if columns else lines, "lines")
+
+
+def stored_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(views.orders(spark, sf), "orders")
+
+
 # Item statistics
 
 
@@ -36,8 +49,8 @@ def broad_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def all_orders(spark: SparkSession, sf: str) -> DataFrame:
-    lines = views.lines(spark, sf)
-    return stats.all_orders(views.orders(spark, sf), views.prior(lines), views.train(lines))
+    lines = stored_lines(spark, sf)
+    return stats.all_orders(stored_orders(spark, sf), views.prior(lines), views.train(lines))
 
 
 @query
@@ -63,7 +76,7 @@ def item_avg_cart_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def popularity_probs(spark: SparkSession, sf: str) -> DataFrame:
-    found = stats.popularity(views.prior(views.lines(spark, sf)), views.products(spark, sf))
+    found = stats.popularity(staged(views.prior(views.lines(spark, sf)).select("product_id"), "bought"), views.products(spark, sf))
     return found.select("product_id", r6("prob"))
 
 
@@ -87,13 +100,13 @@ def hot_by_slot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hot_recall(spark: SparkSession, sf: str) -> DataFrame:
-    lines = views.lines(spark, sf)
+    lines = stored_lines(spark, sf, *SLOT_COLUMNS)
     return hot.recall(views.train(lines), hot.by_slot(views.prior(lines)))
 
 
 @query
 def hot_recall_metric(spark: SparkSession, sf: str) -> DataFrame:
-    lines = views.lines(spark, sf)
+    lines = stored_lines(spark, sf, *SLOT_COLUMNS)
     found = hot.metric(views.train(lines), hot.by_slot(views.prior(lines)))
     return found.select("tp", "p", r6("recall"))
 
@@ -110,7 +123,7 @@ def item_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def itemcf_sim(spark: SparkSession, sf: str) -> DataFrame:
     found = itemcf.similarity(staged(views.prior(views.lines(spark, sf)), "lines"), reorder_weight=1)
-    return found.select("product_id", "sim_product_id", r6("sim"), "rank")
+    return found.select("product_id", "sim_product_id", "sim", "rank")
 
 
 @query
@@ -124,22 +137,23 @@ def user_triggers_by_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _itemcf(spark: SparkSession, sf: str, **options):
-    lines = staged(views.lines(spark, sf), "lines")
+    lines = stored_lines(spark, sf)
     history, targets = views.prior(lines), views.train(lines)
-    starts = itemcf.triggers(history)
-    found = itemcf.recall(targets, starts, itemcf.similarity(history, reorder_weight=1), **options)
+    starts = staged(itemcf.triggers(history), "triggers")
+    sim = staged(itemcf.similarity(history, reorder_weight=1), "item_sim")
+    found = itemcf.recall(targets, starts, sim, **options)
     return found, targets, starts
 
 
 @query
 def itemcf_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return _itemcf(spark, sf)[0].select("order_id", "product_id", r6("score"))
+    return _itemcf(spark, sf)[0].select("order_id", "product_id", "score")
 
 
 @query
 def itemcf_recall_merged(spark: SparkSession, sf: str) -> DataFrame:
     found = _itemcf(spark, sf, merge="sum", top_n=20)[0]
-    return found.select("order_id", "product_id", r6("score"), "rank")
+    return found.select("order_id", "product_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query
@@ -166,13 +180,13 @@ def basket_sequences_shuffled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def item2vec_recall(spark: SparkSession, sf: str) -> DataFrame:
-    lines = staged(views.lines(spark, sf), "lines")
+    lines = stored_lines(spark, sf)
     history, targets = views.prior(lines), views.train(lines)
     fitted = vectors.fit_item_vectors(baskets.sequences(history), partitions=8)
     near = vectors.neighbors(fitted).select(
         F.col("item_id").alias("product_id"), F.col("neighbor_id").alias("sim_product_id"), "sim"
     )
-    found = itemcf.recall(targets, itemcf.triggers(history), near)
+    found = itemcf.recall(targets, staged(itemcf.triggers(history), "triggers"), staged(near, "near"))
     return found.select("order_id", "product_id", r6("score"))
 
 
@@ -193,8 +207,8 @@ def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _eval_history(spark: SparkSession, sf: str):
-    lines = views.lines(spark, sf)
-    targets = baskets.next_basket(views.orders(spark, sf), views.prior(lines), views.train(lines), "train")
+    lines = stored_lines(spark, sf, "order_id", "product_id", "eval_set", "add_to_cart_order")
+    targets = baskets.next_basket(stored_orders(spark, sf), views.prior(lines), views.train(lines), "train")
     return targets.select("order_id", F.explode("last_basket").alias("product_id")), views.train(lines)
 
 
@@ -219,7 +233,7 @@ def pooled_recall_metric(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def order_features(spark: SparkSession, sf: str) -> DataFrame:
-    found = baskets.order_features(views.orders(spark, sf), views.lines(spark, sf))
+    found = baskets.order_features(stored_orders(spark, sf), stored_lines(spark, sf))
     return baskets.as_text(found, "hist", "hist_reordered", "basket")
 
 
@@ -241,37 +255,42 @@ def popularity_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return baskets.as_text(sampling.popularity_negatives(lines, lines), "candidates", "labels")
 
 
-def _chained(spark: SparkSession, sf: str, eval_set: str) -> DataFrame:
-    lines = views.lines(spark, sf)
-    return baskets.next_basket(views.orders(spark, sf), views.prior(lines), views.train(lines), eval_set)
+def _chained(orders: DataFrame, lines: DataFrame, eval_set: str) -> DataFrame:
+    return baskets.next_basket(orders, views.prior(lines), views.train(lines), eval_set)
+
+
+def _chain_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return stored_orders(spark, sf), stored_lines(spark, sf, "order_id", "product_id", "eval_set", "add_to_cart_order")
 
 
 @query
 def prev_basket(spark: SparkSession, sf: str) -> DataFrame:
-    found = _chained(spark, sf, "prior").select("order_id", "user_id", "last_order_id", "last_basket", "basket")
+    found = _chained(*_chain_tables(spark, sf), "prior").select("order_id", "user_id", "last_order_id", "last_basket", "basket")
     return baskets.as_text(found, "last_basket", "basket")
 
 
 @query
 def prev_basket_eval(spark: SparkSession, sf: str) -> DataFrame:
-    found = _chained(spark, sf, "train").select("order_id", "user_id", "last_order_id", "last_basket", "basket")
+    found = _chained(*_chain_tables(spark, sf), "train").select("order_id", "user_id", "last_order_id", "last_basket", "basket")
     return baskets.as_text(found, "last_basket", "basket")
 
 
-def _prior_days(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.days_stats(views.orders(spark, sf).filter(F.col("eval_set") == "prior"))
+def _prior_days(orders: DataFrame) -> DataFrame:
+    return stats.days_stats(orders.filter(F.col("eval_set") == "prior"))
 
 
 @query
 def next_basket_train(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = sampling.uniform_negatives(views.prior(views.lines(spark, sf)), views.products(spark, sf))
-    rows = features.training_rows(_chained(spark, sf, "prior"), candidates, _prior_days(spark, sf))
+    orders, lines = _chain_tables(spark, sf)
+    candidates = sampling.uniform_negatives(views.prior(lines), views.products(spark, sf))
+    rows = features.training_rows(_chained(orders, lines, "prior"), candidates, _prior_days(orders))
     return baskets.as_text(rows.withColumn("days_z", r6("days_z")), "hist_padded", "candidates", "labels")
 
 
 @query
 def next_basket_eval(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.eval_rows(_chained(spark, sf, "train"), _prior_days(spark, sf))
+    orders, lines = _chain_tables(spark, sf)
+    rows = features.eval_rows(_chained(orders, lines, "train"), _prior_days(orders))
     return rows.withColumn("days_z", r6("days_z"))
 
 
@@ -281,13 +300,13 @@ def slot_one_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pair_scorer(spark: SparkSession, sf: str, dim: int = 16):
-    lines = staged(views.lines(spark, sf), "lines")
-    orders = staged(views.orders(spark, sf), "orders")
+    lines = stored_lines(spark, sf)
+    orders = stored_orders(spark, sf)
     history, held_out = views.prior(lines), views.train(lines)
     products = views.products(spark, sf)
     items = vectors.fit_item_vectors(baskets.sequences(history), dim=dim, partitions=8)
     items = staged(vectors.with_group_vectors(items, products), "item_vectors")
-    days = stats.days_stats(orders.filter(F.col("eval_set") == "prior"))
+    days = _prior_days(orders)
     past = staged(features.with_context_features(baskets.next_basket(orders, history, held_out, "prior"), days), "past")
     candidates = staged(sampling.uniform_negatives(history, products), "candidates")
     model = scorer.fit(scorer.pair_rows(past, candidates, items), 3 * dim)
@@ -430,8 +449,9 @@ def recall_list_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def order_lists_text(spark: SparkSession, sf: str) -> DataFrame:
-    found = baskets.order_features(views.orders(spark, sf), views.lines(spark, sf))
-    negatives = sampling.distinct_negatives(views.lines(spark, sf), views.products(spark, sf))
+    lines = stored_lines(spark, sf)
+    found = baskets.order_features(stored_orders(spark, sf), lines)
+    negatives = sampling.distinct_negatives(lines, views.products(spark, sf))
     sampled = negatives.select("order_id", F.concat(F.array("product_id"), F.col("negatives")).alias("sampled"))
     return text.order_lines(found.join(sampled, "order_id"), "sampled")
 
@@ -478,7 +498,7 @@ def shards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kv_export(spark: SparkSession, sf: str) -> DataFrame:
-    lists = text.recall_lines(_hot_scores(spark, sf))
+    lists = staged(text.recall_lines(_hot_scores(spark, sf)), "lists")
     return tables.kv_export(lists, "order_id", "line", prefix="HotSlot_", ttl_s=1_296_000, min_rows=100)
 
 
