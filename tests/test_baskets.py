@@ -147,7 +147,7 @@ def test_global_numbering_over_ranges(spark):
     rng = random.Random(5)
     ids = rng.sample(range(10_000), 300)
     table = spark.createDataFrame([(i,) for i in ids], "id bigint")
-    found = spread.global_running_total(table, "id", F.lit(1), "n", rows_per_range=20)
+    found = spread.global_running_total(table, ["id"], F.lit(1), "n", rows_per_range=20)
     assert rows(found, "id", "n") == [(i, n) for n, i in enumerate(sorted(ids))]
 
 
