@@ -79,7 +79,7 @@ ORACLES = {
         ), h AS (
             SELECT page_id, octet_length(body) AS n, sha1(body) AS s, min(page_id) OVER (PARTITION BY body) AS first FROM p
         ), d AS (
-            SELECT *, list_transform(range(8), g -> CAST(concat('0x', substr(s, CAST(1 + 5 * g AS BIGINT), 5)) AS BIGINT)) AS v FROM h
+            SELECT *, [CAST(concat('0x', substr(s, CAST(1 + 5 * g AS BIGINT), 5)) AS BIGINT) for g in range(8)] AS v FROM h
         )
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
