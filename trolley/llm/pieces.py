@@ -50,6 +50,11 @@ class Pieces:
                 self.id_of[plain], self.rank[plain] = i, model.get_score(i)
                 self.bytes_of.append(plain.encode())
         self.longest = max(map(len, self.id_of), default=1)
+        # lengths of the pieces that end in given two characters, longest first: what a prefix may end with
+        ends: dict[str, set[int]] = {}
+        for piece in self.id_of:
+            ends.setdefault(piece[-2:], {1}).add(len(piece))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
         used = set("".join(self.id_of))
         cuts = "".join(c for c in "\n\t\r" if c not in used)  # in no piece, so a word may end there
         self.words = re.compile(f" *[^ {cuts}]+| +|[{cuts}]" if cuts else " *[^ ]+| +")
@@ -85,9 +90,12 @@ class Pieces:
         return known
 
     def _extend_bpe(self, word: str, end: int, last: list[str]) -> None:
-        for start in range(max(0, end - self.longest), end):
+        for size in self.lengths.get(word[max(0, end - 2) : end], (1,)):
+            start = end - size
+            if start < 0:
+                continue
             piece = word[start:end]
-            if piece in self.id_of or end - start == 1:
+            if size == 1 or piece in self.id_of:
                 if (not start or self._meets(last[start], piece)) and self._stands(piece):
                     last.append(piece)
                     return

@@ -29,7 +29,7 @@ from trolley.sources.scratch import staged
 LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 4 << 20
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 TEXT_AT_ONCE = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -334,7 +334,10 @@ class Removal:
         hot = sizes.filter(F.col("_b") > most).select("anchor", F.ceil(F.col("_b") / most).cast("int").alias("cuts"))
         total = distinct.agg(F.sum(F.octet_length("body"))).first()[0] or 0
         shards = max(1, -(-total // most))
-        dealt = distinct.join(hot, "anchor", "left").withColumn(
+        hot = staged(hot, "hot")
+        # the join is left out where no anchor is that large, which saves a shuffle of all segments
+        known = distinct.join(hot, "anchor", "left") if hot.take(1) else distinct.withColumn("cuts", F.lit(None).cast("int"))
+        dealt = known.withColumn(
             "shard",
             F.when(F.col("cuts").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards)))
             .otherwise(F.xxhash64("anchor", F.pmod(F.col("digest"), F.col("cuts")))),
