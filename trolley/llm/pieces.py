@@ -13,7 +13,7 @@ the entry is that last piece, and reading back from the end gives the model's ow
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -50,17 +50,19 @@ class Pieces:
                 self.id_of[plain], self.rank[plain] = i, model.get_score(i)
                 self.bytes_of.append(plain.encode())
         self.longest = max(map(len, self.id_of), default=1)
-        # lengths of the pieces that end in given two characters, longest first: what a prefix may end with
-        ends: dict[str, set[int]] = {}
-        for piece in self.id_of:
-            ends.setdefault(piece[-2:], {1}).add(len(piece))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
         used = set("".join(self.id_of))
         cuts = "".join(c for c in "\n\t\r" if c not in used)  # in no piece, so a word may end there
         self.words = re.compile(f" *[^ {cuts}]+| +|[{cuts}]" if cuts else " *[^ ]+| +")
         self.unknown = min(self.rank.values(), default=0.0) - 10.0
         self._apart: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        if kind == "bpe":  # a piece that BPE does not make of its own characters never occurs
+            self.usable = {p: (i,) for p, i in self.id_of.items() if self.merged(p) == [p]}
+        else:
+            self.usable = {p: (i,) for p, i in self.id_of.items()}
+        self._ends: dict[str, set[int]] = {}
+        for piece in self.usable:
+            self._ends.setdefault(piece[-3:], set()).add(len(piece))
+        self._sizes: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE from single characters: the best-scored pair first, the leftmost of equals."""
@@ -75,64 +77,75 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _stands(self, piece: str) -> bool:
-        known = self._alone.get(piece)
-        if known is None:
-            known = self._alone[piece] = self.merged(piece) == [piece]
-        return known
-
     def _meets(self, before: str, piece: str) -> bool:
-        known = self._apart.get((before, piece))
-        if known is None:
-            if len(self._apart) > 1_000_000:  # a cache, not data
-                self._apart.clear()
-            known = self._apart[before, piece] = self.merged(before + piece) == [before, piece]
+        if len(self._apart) > 1_000_000:  # a cache, not data
+            self._apart.clear()
+        known = self._apart[before, piece] = self.merged(before + piece) == [before, piece]
         return known
 
-    def _extend_bpe(self, word: str, end: int, last: list[str]) -> None:
-        for size in self.lengths.get(word[max(0, end - 2) : end], (1,)):
-            start = end - size
-            if start < 0:
-                continue
-            piece = word[start:end]
-            if size == 1 or piece in self.id_of:
-                if (not start or self._meets(last[start], piece)) and self._stands(piece):
-                    last.append(piece)
-                    return
-        raise AssertionError(f"no piece ends {word[:end]!r}")  # a single character always does
-
-    def _extend_unigram(self, word: str, end: int, last: list[str], sums: list[float]) -> None:
-        best, chosen = -np.inf, word[end - 1 : end]
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            score = self.rank.get(piece, self.unknown if end - start == 1 else None)
-            if score is not None and sums[start] + score > best:
-                best, chosen = sums[start] + score, piece
-        last.append(chosen)
-        sums.append(best)
-
-    def encoded(self, words: Iterator[str]) -> dict[str, list[int]]:
+    def _sizes_at(self, tail: str) -> list[int]:
+        """Lengths of the pieces that may end in these last (up to three) characters, longest first; 1 is always one."""
+        tails = (tail, tail[-2:], tail[-1:])
+        sizes = self._sizes[tail] = sorted({1}.union(*[self._ends.get(t, ()) for t in tails]), reverse=True)
+        return sizes
+
+    def _spelled(self, char: str) -> tuple[int, ...]:
+        return tuple(self.byte_id[b] for b in char.encode())
+
+    def encoded(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each distinct word, in one walk over the sorted words."""
-        out: dict[str, list[int]] = {}
-        before, last, sums = "", [""], [0.0]
-        for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], sums[shared + 1 :]
+        return self._bpe(sorted(words)) if self.kind == "bpe" else self._unigram(sorted(words))
+
+    def _bpe(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        out: dict[str, tuple[int, ...]] = {}
+        before, last, path = "", [""], [()]  # per prefix: its last piece and its ids
+        sizes_of, ids_of, apart = self._sizes, self.usable, self._apart
+        for word in words:
+            shared = _shared(before, word)
+            del last[shared + 1 :], path[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                tail = word[end - 3 : end] if end > 2 else word[:end]
+                for size in sizes_of.get(tail) or self._sizes_at(tail):
+                    start = end - size
+                    if start < 0:
+                        continue
+                    piece = word[start:end]
+                    ids = ids_of.get(piece)
+                    if ids is None:
+                        if size > 1:
+                            continue
+                        ids = self._spelled(piece)
+                    if start:
+                        pair = last[start], piece
+                        fits = apart.get(pair)
+                        if not (self._meets(*pair) if fits is None else fits):
+                            continue
+                    last.append(piece)
+                    path.append(path[start] + ids)
+                    break
+            out[word] = path[-1]
+            before = word
+        return out
+
+    def _unigram(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        out: dict[str, tuple[int, ...]] = {}
+        before, sums, path = "", [0.0], [()]  # per prefix: the best sum and its ids
+        for word in words:
+            shared = _shared(before, word)
+            del sums[shared + 1 :], path[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                if self.kind == "bpe":
-                    self._extend_bpe(word, end, last)
-                else:
-                    self._extend_unigram(word, end, last, sums)
-            ids: list[int] = []
-            end = len(word)
-            while end:
-                piece = last[end]
-                found = self.id_of.get(piece)
-                ids += [found] if found is not None else [self.byte_id[b] for b in reversed(piece.encode())]
-                end -= len(piece)
-            out[word] = ids[::-1]
+                best, chosen = -np.inf, ()
+                for start in range(max(0, end - self.longest), end):
+                    piece = word[start:end]
+                    ids = self.usable.get(piece)
+                    if ids is None and end - start > 1:
+                        continue
+                    total = sums[start] + (self.unknown if ids is None else self.rank[piece])
+                    if total > best:
+                        best, chosen = total, path[start] + (ids or self._spelled(piece))
+                sums.append(best)
+                path.append(chosen)
+            out[word] = path[-1]
             before = word
         return out
 
@@ -148,6 +161,18 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    if b.startswith(a):
+        return len(a)
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            return n
+        n += 1
+    return n
+
+
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row's whole text.
 
