@@ -29,7 +29,7 @@ LEAST_CHARS = 40
 TABLE_BITS = 22
 #: Benchmark bytes handled by one pass over the documents.
 BLOCK_BYTES = 8 << 20
-TEXT_AT_ONCE = 1 << 22
+TEXT_AT_ONCE = 1 << 20
 
 #: For lower-cased text: A-Z to lower case; other ASCII that is neither letter nor digit becomes a space; bytes from 128 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))

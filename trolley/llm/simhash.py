@@ -27,8 +27,8 @@ from trolley.sources.scratch import staged
 SEED = 42
 #: Fingerprints compared in one piece; a bucket with more is cut into chunks and all pairs of chunks.
 MOST_IN_BUCKET = 4096
-ROWS_AT_ONCE = 1 << 17
-SHINGLES_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 1 << 16
+SHINGLES_AT_ONCE = 1 << 15
 
 
 def fingerprint(words: Sequence[bytes], width: int, parts: int) -> list[int]:
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 4, parts: int = 1) -> DataFrame:
     names = [f"f{p}" for p in range(parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups_of(batches, "text", 1 << 25):
+        for batch in groups_of(batches, "text", 1 << 22):
             rows = [fingerprint(words_of(t), width, parts) for t in batch.column("text").to_pylist()]
             own = np.array(rows, np.int64).reshape(-1, parts)
             columns = [batch.column("doc_id"), *[pa.array(own[:, p]) for p in range(parts)]]

@@ -30,7 +30,7 @@ LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 4 << 20
 PART_BYTES = 12 << 20
-TEXT_AT_ONCE = 1 << 22
+TEXT_AT_ONCE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,7 +248,7 @@ class Removal:
         length, gram, buckets = self.length, self.gram, parts
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in groups_of(batches, "text", 2 * TEXT_AT_ONCE):
+            for batch in groups_of(batches, "text", 4 * TEXT_AT_ONCE):
                 own, cells = [], []
                 for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
                     a = Segments(text, length, gram).grams
@@ -448,7 +448,7 @@ def remove_repeats(docs: DataFrame, removal: Removal | None = None, texts: bool
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups_of(batches, "text", 2 * TEXT_AT_ONCE):
+        for batch in groups_of(batches, "text", 4 * TEXT_AT_ONCE):
             out = []
             for doc, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc", "text", "spans")]):
                 at, removed, runs, kept = 0, 0, 0, []
