@@ -154,15 +154,14 @@ def find_in(text: bytes, windows: Windows, codes: np.ndarray) -> dict[int, tuple
 
 
 def edits_near(pattern: bytes, text: bytes, at: int, first: int, budget: int) -> int | None:
-    """Alignment of a window against the stretch its diagonal band allows."""
+    """Fewest edits of a window against the stretch its diagonal band allows, None above the budget."""
     room = first - at  # a band at the very start of the text has less room before it
     stretch = text[at : max(at, first) + 2 * (budget + 1) + len(pattern) + 2 * budget]
-    step = 2 * budget + 1
-    for start in range(0, max(1, room + 2 * (budget + 1) + budget), step):
-        found = edits_within(pattern, stretch[start:], budget)
-        if found is not None:
-            return found
-    return None
+    if pattern in stretch:
+        return 0
+    starts = range(0, max(1, room + 2 * (budget + 1) + budget), 2 * budget + 1)
+    found = [edits_within(pattern, stretch[s:], budget) for s in starts]
+    return min((n for n in found if n is not None), default=None)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
