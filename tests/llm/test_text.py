@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_documents import HOSTILE, hostile
 from trolley.llm import pieces, quality, rules, secrets, warc
+from trolley.sources.scratch import staged
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -118,7 +119,7 @@ def test_rules_are_those_of_brute_force(spark):
     docs = table(spark, "documents").union(
         spark.createDataFrame([r[:5] for r in HOSTILE], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     )
-    known = rules.references(rules.statistics(docs))
+    known = rules.references(staged(rules.statistics(docs)))
     got = rules.judge(docs).collect()
     want = []
     for r in docs.collect():
@@ -155,18 +156,21 @@ def test_secrets_are_found_and_masked(spark):
         (3, "plain words only"),
         (4, f'api_key: {key}\nsecret="{key[::-1]}"'),
         (5, "https://www.site.org/articles/2024/03/the-information-page"),
-        (5, f'start token = "{key}" end'),
+        (6, f'start token = "{key}" end'),
+        (6, f'start token = "{key}" end'),
     ]
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows] + [(None, None, None), (7, "", 0)], "doc_id bigint, text string, n_chars int")
     got = {(r.doc_id, r.n): r.secret for r in secrets.scan(docs).collect()}
-    assert got[1, 0] and got[4, 0] and got[4, 1] and not got[2, 0] and not got[2, 1] and not got[5, 0] or got[5, 0]
-    assert {d for d, _ in got} == {1, 2, 4, 5}
+    assert got[1, 0] and got[4, 0] and got[4, 1] and got[6, 0]
+    assert not got[2, 0] and not got[2, 1] and not got[5, 0]
+    assert {d for d, _ in got} == {1, 2, 4, 5, 6}
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
-    texts = {r.doc_id: r for r in clean.filter("doc_id <> 5").collect()}
+    texts = {r.doc_id: r for r in clean.collect()}
     assert texts[1].text == 'start token = "[secret]" end' and texts[1].n_chars == len(texts[1].text)
     assert texts[4].text == 'api_key: [secret]\nsecret="[secret]"'
     assert texts[2].text == rows[1][1] and texts[3].text == rows[2][1] and texts[7].text == ""
+    assert clean.filter("doc_id = 6").count() == 2 and texts[6].text == texts[1].text and texts[5].text == rows[4][1]
     assert clean.filter("doc_id IS NULL").first().text is None
 
 
@@ -287,7 +291,7 @@ def test_broken_archives_are_errors():
     good = warc.record(1, "http://a", b"<p>text</p>" * 20, warc.digest_of(b"<p>text</p>" * 20), None)
     whole = archive(good, good)
     assert [warc.parsed(x)[0]["warc-type"] for x in warc.frames(whole)] == ["response", "response"]
-    for broken in (whole[:-3], whole[8:], whole + b"junk", whole[: len(whole) // 2] + b"\0" + whole[len(whole) // 2 + 1 :]):
+    for broken in (whole[:-3], whole[8:], whole + b"junk", whole[:-12] + bytes([whole[-12] ^ 255]) + whole[-11:]):
         with pytest.raises((ValueError, zstandard.ZstdError)):
             list(warc.frames(broken))
     for data in (good.replace(b"WARC/1.1", b"WARC/9.9"), good[:-5], good.replace(b"WARC-Date", b"Other"), good + b"x"):

@@ -120,7 +120,7 @@ def base_failed() -> Column:
 def references(stats: DataFrame) -> dict[str, dict[str, list[float]]]:
     """Per language with a word list: the summed histograms of its documents that pass the base rules, as shares.
 
-    One aggregate over all documents; at most one row a listed language reaches the driver.
+    One aggregate over all documents, which should be a stored table; at most one row a listed language reaches the driver.
     """
     wide = {"chars": len(CLASSES) + 1, "common": len(WORDS) + 1}
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in wide.items() for i in range(n)]
