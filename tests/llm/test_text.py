@@ -224,6 +224,8 @@ def test_ids_of_the_library(spark, model):
 def test_round_trip_of_hostile_rows(spark, model):
     back = pieces.decode(pieces.encode(hostile(spark), model), model).collect()
     assert Counter((r.doc_id, r.text) for r in back) == Counter((d, t or "") for d, t, *_ in HOSTILE)
+    both = pieces.encode(hostile(spark), model, decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.text) for r in both) == Counter((r.doc_id, tuple(r.ids), r.text) for r in back)
     assert pieces.decode(pieces.encode(hostile(spark).limit(0), model), model).count() == 0
 
 

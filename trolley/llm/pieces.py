@@ -24,7 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from trolley.llm.words import groups_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TEXT_AT_ONCE = 1 << 23
+TEXT_AT_ONCE = 1 << 22
+#: Pairs of pieces whose verdict a worker remembers; a cache, not data.
+MOST_PAIRS = 400_000
+
+
+#: Numbers from here on stand for characters that are no piece.
+UNKNOWN = 1 << 28
 
 
 class Pieces:
@@ -54,7 +60,7 @@ class Pieces:
         cuts = "".join(c for c in "\n\t\r" if c not in used)  # in no piece, so a word may end there
         self.words = re.compile(f" *[^ {cuts}]+| +|[{cuts}]" if cuts else " *[^ ]+| +")
         self.unknown = min(self.rank.values(), default=0.0) - 10.0
-        self._apart: dict[tuple[str, str], bool] = {}
+        self._apart: dict[int, bool] = {}
         if kind == "bpe":  # a piece that BPE does not make of its own characters never occurs
             self.usable = {p: (i,) for p, i in self.id_of.items() if self.merged(p) == [p]}
         else:
@@ -77,10 +83,11 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _meets(self, before: str, piece: str) -> bool:
-        if len(self._apart) > 1_000_000:  # a cache, not data
+    def _meets(self, pair: int, before: str, piece: str) -> bool:
+        """Whether BPE leaves these two pieces side by side; remembered under a number for the pair."""
+        if len(self._apart) >= MOST_PAIRS:
             self._apart.clear()
-        known = self._apart[before, piece] = self.merged(before + piece) == [before, piece]
+        known = self._apart[pair] = self.merged(before + piece) == [before, piece]
         return known
 
     def _sizes_at(self, tail: str) -> list[int]:
@@ -98,7 +105,7 @@ class Pieces:
 
     def _bpe(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         out: dict[str, tuple[int, ...]] = {}
-        before, last, path = "", [""], [()]  # per prefix: its last piece and its ids
+        before, last, path = "", [("", 0)], [()]  # per prefix: its last piece with a number, and its ids
         sizes_of, ids_of, apart = self._sizes, self.usable, self._apart
         for word in words:
             shared = _shared(before, word)
@@ -114,13 +121,16 @@ class Pieces:
                     if ids is None:
                         if size > 1:
                             continue
-                        ids = self._spelled(piece)
+                        ids, number = self._spelled(piece), UNKNOWN + ord(piece)
+                    else:
+                        number = ids[0]
                     if start:
-                        pair = last[start], piece
+                        left = last[start]
+                        pair = left[1] << 32 | number
                         fits = apart.get(pair)
-                        if not (self._meets(*pair) if fits is None else fits):
+                        if not (self._meets(pair, left[0], piece) if fits is None else fits):
                             continue
-                    last.append(piece)
+                    last.append((piece, number))
                     path.append(path[start] + ids)
                     break
             out[word] = path[-1]
@@ -173,8 +183,8 @@ def _shared(a: str, b: str) -> int:
     return n
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of every row's whole text.
+def encode(docs: DataFrame, pieces: Pieces | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every row's whole text, with `decoded` also the text its ids give back.
 
     Ids equal those of the SentencePiece library, but for texts that hold U+2581 itself: that character is
     spelled in bytes here, so that it is not decoded to a space. Null and empty texts get an empty list;
@@ -189,10 +199,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], names=["doc_id", "ids"])
+            columns = [batch.column("doc_id"), column]
+            if decoded:
+                columns.append(pa.array([model.decode(i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded
+    return rows.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, pieces: Pieces | None = None) -> DataFrame:

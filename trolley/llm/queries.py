@@ -38,8 +38,7 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text back."""
     docs = _table(spark, sf_dir, "documents")
-    model = pieces.Pieces()
-    coded = pieces.decode(pieces.encode(docs, model), model)
+    coded = pieces.encode(docs, decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )
