@@ -185,3 +185,23 @@ def test_dates(spark):
     assert (r["d"], r["k"], r["e"]) == ("2024-02-29", "20240229", 1709251200)
     moments = spark.sql("select explode(array(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-02 23:59:59', timestamp_ntz'2024-01-03')) as ts")
     assert dates.in_window(moments, "ts", dt.date(2024, 1, 1), dt.date(2024, 1, 2)).count() == 2
+
+
+def test_no_neighbours_over_a_pole(spark):
+    from trolley.operators import geo
+
+    points = spark.createDataFrame([(1, 89.99, 10.0), (2, -89.99, 10.0)], "id bigint, lat double, lng double")
+    found = geo.proximity_join(points.filter("id = 1"), points, 2).first()
+    assert (found.n_same_cell, found.n_nearby) == (1, 1)
+
+
+def test_codes_of_wide_columns(spark):
+    from trolley.operators import ctr
+
+    n = ctr.MANY + 1
+    rows = spark.range(n).selectExpr("id", "id * 3 % 10007 AS number", "concat('v', id * 7 % 10007) AS name")
+    found = ctr.label_codes(rows, ["number", "name"]).toPandas().sort_values("id")
+    want = rows.toPandas().sort_values("id")
+    for c in ("number", "name"):
+        order = {v: i for i, v in enumerate(sorted(set(want[c])))}
+        assert found[c].tolist() == [order[v] for v in want[c]]

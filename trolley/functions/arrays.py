@@ -38,11 +38,6 @@ def one_hot(position: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (i == position).cast("int"))
 
 
-def label_vector(candidates: Column, basket: Column) -> Column:
-    """1 where a candidate belongs to the basket, else 0."""
-    return F.transform(candidates, lambda c: F.array_contains(basket, c).cast("int"))
-
-
 def parse_array(text: Column, element: str = "int") -> Column:
     """`[1 2 3]` or `[ 1 2 3 ]` as an array of numbers; an empty pair of brackets is an empty array."""
     body = F.trim(F.regexp_replace(text, r"[\[\]]", " "))

@@ -13,10 +13,6 @@ def days_before(day: Column, n: int) -> Column:
     return F.date_sub(day.cast("date"), n)
 
 
-def yesterday() -> Column:
-    return F.date_sub(F.current_date(), 1)
-
-
 def date_key(day: Column) -> Column:
     """A date as `yyyyMMdd`."""
     return F.date_format(day.cast("date"), "yyyyMMdd")

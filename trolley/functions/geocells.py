@@ -79,10 +79,12 @@ def shifted(x: Column, y: Column, precision: int, east: int, north: int) -> tupl
 
 
 def block(x: Column, y: Column, precision: int) -> Column:
-    """The cell and its eight neighbours as an array of (x, y); duplicates (tiny grids) removed."""
+    """The cell and its neighbours as an array of (x, y): around the date line, but not over a pole; duplicates
+    (tiny grids) removed."""
     steps = [(0, 0), *DIRECTIONS.values()]
     cells = []
     for east, north in steps:
-        nx, ny = shifted(x, y, precision, east, north)
-        cells.append(F.struct(nx.alias("x"), ny.alias("y")))
-    return F.array_distinct(F.array(*cells))
+        nx, _ = shifted(x, y, precision, east, north)
+        cells.append(F.struct(nx.alias("x"), (y + north).alias("y")))
+    rows = 1 << axis_bits(precision)[1]
+    return F.array_distinct(F.filter(F.array(*cells), lambda c: (c["y"] >= 0) & (c["y"] < rows)))

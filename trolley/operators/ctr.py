@@ -9,13 +9,14 @@ from pyspark.ml.classification import FMClassifier, LogisticRegression, Multilay
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.functions.dates import hour_parts
 from trolley.functions.draws import keep
-from trolley.operators.spread import ROWS_PER_RANGE, global_running_total
+from trolley.operators.spread import ROWS_PER_RANGE, global_running_total, hot_key_join
 
+# The size classes of columns and the grid of inverse penalties.
 FEW, MANY, HIGH = 20, 10_000, 100
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1, 3, 10)
 
@@ -65,14 +66,12 @@ def select_columns(df: DataFrame, columns: Sequence[str], above: int = 0, below:
 def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Replace values by their place among the sorted distinct values of the fitted rows.
 
-    A value not seen in the fit gets the next free code. Columns with MANY values or more are refused,
-    which bounds every code table that is broadcast.
+    A value not seen in the fit gets the next free code. Code tables of fewer than MANY values are broadcast;
+    those of larger columns are numbered in ranges and joined with hot values split.
     """
     seen = df if fit is None else fit
     sizes = {r["column"]: r["n_distinct"] for r in column_profile(seen, columns).collect()}
-    wide = [c for c in columns if sizes[c] >= MANY]
-    if wide:
-        raise ValueError(f"columns with {MANY} or more values cannot be coded: {wide}")
+    narrow = [c for c in columns if sizes[c] < MANY]
     # One pass gives the values of all columns; numbers sort as numbers and text as text.
     texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     fields = [
@@ -81,12 +80,17 @@ def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
             (F.lit(None) if c in texts else F.col(c)).cast("double").alias("number"),
             (F.col(c) if c in texts else F.lit(None)).cast("string").alias("text"),
         )
-        for c in columns
+        for c in narrow
     ]
-    values = seen.select(F.inline(F.array(*fields))).filter("number is not null or text is not null").distinct()
-    place = F.row_number().over(Window.partitionBy("column").orderBy("number", "text")) - 1
-    codes = values.withColumn("_code", place)
+    if narrow:
+        values = seen.select(F.inline(F.array(*fields))).filter("number is not null or text is not null").distinct()
+        place = F.row_number().over(Window.partitionBy("column").orderBy("number", "text")) - 1
+        codes = values.withColumn("_code", place)
     for c in columns:
+        if c not in narrow:
+            coded = hot_key_join(df, _wide_codes(seen, c, c in texts), c, "left")
+            df = coded.withColumn(c, F.coalesce("_code", F.lit(sizes[c])).cast("int")).select(*df.columns)
+            continue
         own = codes.filter(F.col("column") == c).select(
             F.col("text" if c in texts else "number").cast(df.schema[c].dataType).alias(c), "_code"
         )
@@ -95,6 +99,15 @@ def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
     return df
 
 
+def _wide_codes(seen: DataFrame, column: str, text: bool) -> DataFrame:
+    """(value, _code) of a column with many values, numbered in ranges of a number that follows their order:
+    the value itself, or the first seven bytes of a text."""
+    head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
+    number = F.conv(head, 16, 10).cast("bigint") if text else F.col(column).cast("double")
+    values = seen.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_number", number)
+    return global_running_total(values, ["_number", column], F.lit(1), "_code").select(column, "_code")
+
+
 def first_seen_codes(df: DataFrame, column: str, at: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Number values 0, 1, ... by first appearance (then by value): (column, code)."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(at).alias("_first"))
@@ -143,8 +156,14 @@ def fit_encoder(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
     ).fit(train)
 
 
-def fit_lr(train: DataFrame, label: str = "click", c: float = 0.3, grid: Sequence[float] | None = None, seed: int = 0):
-    """L1 logistic regression; with a grid of C values, the one with the best validation AUC.
+def fit_lr(
+    train: DataFrame,
+    label: str = "click",
+    c: float = 0.3,
+    grid: Sequence[float] | None = None,
+    valid: DataFrame | None = None,
+):
+    """L1 logistic regression; with a grid of C values and both penalties, the one with the best AUC on `valid`.
 
     C weighs the summed loss and Spark's penalty the mean loss, so the penalty is 1 / (C * rows).
     """
@@ -157,10 +176,8 @@ def fit_lr(train: DataFrame, label: str = "click", c: float = 0.3, grid: Sequenc
     choices = ParamGridBuilder().addGrid(lr.elasticNetParam, [1.0, 0.0])
     choices = choices.addGrid(lr.regParam, [1.0 / (g * n) for g in grid]).build()
     judge = BinaryClassificationEvaluator(labelCol=label)
-    split = TrainValidationSplit(
-        estimator=lr, estimatorParamMaps=choices, evaluator=judge, trainRatio=0.85, seed=seed
-    )
-    return split.fit(train).bestModel
+    fitted = [lr.fit(train, choice) for choice in choices]
+    return max(fitted, key=lambda model: judge.evaluate(model.transform(valid)))
 
 
 def fit_fm(train: DataFrame, label: str = "click", factors: int = 8, iters: int = 20, seed: int = 0):

@@ -92,7 +92,7 @@ def cell_hot(points: DataFrame, purchases: DataFrame, precision: int = 5, k: int
     """
     bought = purchases.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     placed = with_cell(points, precision).select(F.col("id").alias("user_id"), "x", "y")
-    per_cell = bought.join(placed, "user_id").groupBy("x", "y", "product_id").agg(F.sum("n").alias("n"))
+    per_cell = hot_key_join(bought, placed, "user_id").groupBy("x", "y", "product_id").agg(F.sum("n").alias("n"))
     around = spread_over_block(per_cell, precision).groupBy("x", "y", "product_id").agg(F.sum("n").alias("cnt"))
     occupied = placed.select("x", "y").distinct()
     best = top_k(

@@ -11,9 +11,11 @@ from trolley.functions.arrays import count_at_most, probe_steps
 # Global orders are cut into at most this many ranges, so tables of ranges are small by construction.
 MOST_RANGES = 1024
 ROWS_PER_RANGE = 1_000_000
-# A key is hot when it holds more than 1/HOT_SHARE of the rows. There are fewer than HOT_SHARE such
-# keys whatever the data, which bounds the table of hot keys that is broadcast.
+# A key is hot when it holds more than 1/HOT_SHARE of the rows, or more than ROWS_PER_SLICE of them. There are
+# fewer than max(HOT_SHARE, rows / ROWS_PER_SLICE) such keys whatever the data, which bounds the table of hot
+# keys that is broadcast (a million short rows at 10^12), and no slice grows with the data.
 HOT_SHARE = 1000
+ROWS_PER_SLICE = 1_000_000
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -97,8 +99,8 @@ def hot_key_join(
 ) -> DataFrame:
     """Join many left rows to few right rows a key ('inner' or 'left'), with the left's hot keys split.
 
-    A hot key is cut into as many slices as it holds thousandths of the left rows; its right rows are
-    repeated once a slice. Other keys keep one slice, so at most 2 * HOT_SHARE slices are added.
+    A hot key is cut into slices of a thousandth of the left rows or ROWS_PER_SLICE, whichever is less; its
+    right rows are repeated once a slice. Other keys keep one slice.
     `counts` (key, n) saves the counting pass where left rows a key are known already; it only steers
     the slicing, so near counts do.
     """
@@ -106,8 +108,9 @@ def hot_key_join(
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(key, F.col("n").alias("_n"))
     total = counts.agg(F.sum("_n").alias("total")).scalar()
-    hot = counts.filter(F.col("_n") * HOT_SHARE > total).select(
-        key, F.ceil(F.col("_n") * HOT_SHARE / total).cast("int").alias("_slices")
+    slice_rows = F.least(total / HOT_SHARE, F.lit(float(ROWS_PER_SLICE)))
+    hot = counts.filter(F.col("_n") > slice_rows).select(
+        key, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices")
     )
     others = [c for c in left.columns if c != key]
     slices = F.coalesce("_slices", F.lit(1))

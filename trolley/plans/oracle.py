@@ -316,12 +316,10 @@ SELECT * FROM (
   FROM pri GROUP BY product_id, order_dow, order_hour_of_day) WHERE ranking <= 1"""
 
     q["item_order_index"] = f"""WITH {LINES}
-SELECT a.product_id, order_pv, order_uv, reorder_pv, reorder_uv, reorder_uv_strict FROM (
-  SELECT product_id, count(order_id) AS order_pv, CAST(sum(reordered) AS BIGINT) AS reorder_pv,
-         count(DISTINCT user_id) AS order_uv,
-         count(DISTINCT CASE WHEN reordered = 1 THEN user_id END) AS reorder_uv_strict
-  FROM trn GROUP BY product_id) a
-LEFT JOIN (SELECT product_id, count(DISTINCT user_id) AS reorder_uv FROM trn GROUP BY product_id) b USING (product_id)"""
+SELECT product_id, count(order_id) AS order_pv, count(DISTINCT user_id) AS order_uv,
+       CAST(sum(reordered) AS BIGINT) AS reorder_pv, count(DISTINCT user_id) AS reorder_uv,
+       count(DISTINCT user_id) FILTER (reordered = 1) AS reorder_uv_strict
+FROM trn GROUP BY product_id"""
 
     q["item_avg_cart_order"] = f"""WITH {LINES}
 SELECT product_id, round(avg(add_to_cart_order), 6) AS avg_cart_order FROM pri GROUP BY product_id"""
@@ -485,16 +483,17 @@ FROM ({cells(BOTH, 5)}) GROUP BY x, y"""
     q["geo_neighbours"] = f"""
 SELECT {cell_text("x", "y", 5)} AS cell, place, direction, {cell_text(nx, ny, 5)} AS neighbour
 FROM (SELECT DISTINCT x, y FROM ({cells(BOTH, 5)})), {around(5, False)}"""
-    nx, ny = wrapped(2)
+    nx, _ = wrapped(2)
     q["geo_proximity_join"] = f"""
 WITH c AS ({cells(point("customer", "c_custkey"), 2)}), s AS ({cells(point("supplier", "s_suppkey"), 2)})
 SELECT c.id AS c_custkey, count(CASE WHEN s.x = c.x AND s.y = c.y THEN 1 END) AS n_same_cell, count(s.id) AS n_nearby
-FROM c LEFT JOIN s ON (s.x - c.x + 33) % 32 IN (0, 1, 2) AND (s.y - c.y + 33) % 32 IN (0, 1, 2)
+FROM c LEFT JOIN s ON (s.x - c.x + 33) % 32 IN (0, 1, 2) AND s.y BETWEEN c.y - 1 AND c.y + 1
 GROUP BY c.id"""
     q["geo_cell_hot"] = f"""WITH {LINES},
 c AS ({cells(point("customer", "c_custkey"), 2)}),
 n AS (SELECT x, y, product_id, count(*) AS n FROM pri JOIN c ON c.id = user_id GROUP BY ALL),
-m AS (SELECT {nx} AS x, {ny} AS y, product_id, CAST(sum(n) AS BIGINT) AS cnt FROM n, {around(2, True)} GROUP BY ALL),
+m AS (SELECT {nx} AS x, y + north AS y, product_id, CAST(sum(n) AS BIGINT) AS cnt FROM n, {around(2, True)}
+      WHERE y + north BETWEEN 0 AND 31 GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY x, y ORDER BY cnt DESC, product_id) AS INT) AS rank FROM m
       WHERE (x, y) IN (SELECT (x, y) FROM c))
 SELECT {cell_text("x", "y", 2)} AS cell, product_id, cnt, rank FROM r WHERE rank <= 20"""

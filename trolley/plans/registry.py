@@ -377,7 +377,8 @@ def ctr_small_sample(spark: SparkSession, sf: str) -> DataFrame:
     return ctr.prepare(views.clicks(spark, sf), "event_id", ["weekday"]).select("event_id", "click", *[f"weekday_{i}" for i in range(7)])
 
 
-def _ctr_sets(spark: SparkSession, sf: str):
+def _ctr_sets(spark: SparkSession, sf: str, validation: bool = False):
+    """Encoded training and test rows; with `validation`, also the rows marked for choosing a model."""
     log = views.clicks(spark, sf)
     fields = ctr.select_columns(log, CTR_FIELDS, above=1, below=ctr.MANY)
     seen = ctr.sampled(_fitted_rows(log), "event_id", "click")
@@ -385,7 +386,9 @@ def _ctr_sets(spark: SparkSession, sf: str):
     kept = ["event_id", "click", "features"]
     train = staged(encoder.transform(seen.filter(F.col("part") == "train")).select(*kept), "ctr-train")
     test = encoder.transform(log.filter(F.col("at") >= F.lit(HOLDOUT).cast("timestamp_ntz"))).select(*kept)
-    return train, test
+    if not validation:
+        return train, test
+    return train, test, staged(encoder.transform(seen.filter(F.col("part") == "valid")).select(*kept), "ctr-valid")
 
 
 def _ctr_result(name: str, scored: DataFrame) -> DataFrame:
@@ -400,8 +403,8 @@ def ctr_lr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ctr_lr_grid(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _ctr_sets(spark, sf)
-    return _ctr_result("lr_grid", ctr.scores(ctr.fit_lr(train, grid=ctr.C_GRID), test))
+    train, test, valid = _ctr_sets(spark, sf, validation=True)
+    return _ctr_result("lr_grid", ctr.scores(ctr.fit_lr(train, grid=ctr.C_GRID, valid=valid), test))
 
 
 @query
