@@ -266,7 +266,7 @@ def test_archives_give_pages_back(spark, tmp_path):
     ]
     docs = spark.createDataFrame(rows, PAGES)
     folder = str(tmp_path / "archives")
-    warc.write(docs, folder, archive_bytes=50_000)
+    warc.write(docs, folder)
     got = warc.read(spark, folder).collect()
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     revisit = {2: 1, 4: 3}

@@ -2,7 +2,7 @@
 
 Archives are written by Spark's own text writer, so they reach any store that Spark reaches: every row is one
 frame's raw bytes, and the line separator is an empty skippable frame, which readers of the format pass over.
-They are read back as whole files by Spark's binary reader; an archive holds about ARCHIVE_BYTES of payload.
+They are read back as whole files by Spark's binary reader; an archive is as large as the session makes its partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 RAW_DICTIONARY = 0xEC30A437
 
-ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 TEXT_AT_ONCE = 1 << 23
@@ -165,11 +164,10 @@ def revisits(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write `pages` (page_id, url, html) as .warc.zst archives, one a partition, each with its own dictionary,
-    trained on the first SAMPLE_BYTES of its records."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    archives = max(1, -(-size // archive_bytes))
+def write(pages: DataFrame, folder: str) -> None:
+    """Write `pages` (page_id, url, html) as .warc.zst archives, one a partition of the pages joined with
+    what they revisit, each with its own dictionary, trained on the first SAMPLE_BYTES of its records. Payloads are
+    shuffled for that join at most, not again for the archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -200,8 +198,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    dealt = revisits(pages).repartition(archives, F.xxhash64("page_id", "url"))
-    framed = dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    framed = revisits(pages).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
     framed.write.option("lineSep", EMPTY_FRAME).text(folder)
 
 
