@@ -221,8 +221,8 @@ def passages(spark):
 
     items = [(i, text(draw.randrange(18, 60))) for i in range(8)] + [(90, "too short"), (91, None), (None, text(30))]
     docs, k = [], 0
-    for i in range(60):
-        body = text(80)
+    for i in range(21):
+        body = text(40)
         if i % 3:
             item = items[draw.randrange(8)][1]
             worn = list(item)
