@@ -3,8 +3,10 @@
 1. Every 100-byte window is labelled with its anchor, the smallest hash of the K-byte grams inside it. Equal
    windows have equal anchors. A run of windows with one anchor is a segment; segments whose anchor occurs
    only once in the corpus hold nothing that repeats and are left out.
+   Documents whose whole text occurs earlier are repeats at once and send no segments.
 2. Equal segments are merged into one row with the earliest place; all later places are repeats as a whole.
-3. The distinct segments are dealt to shards by anchor. A shard builds a suffix array of its segments
+   Where all segments of an anchor are equal that settles it, and their bytes are never sent.
+3. The other distinct segments are dealt to shards by anchor. A shard builds a suffix array of its segments
    (Larsson-Sadakane: only groups that are still tied are sorted again, by the rank behind them), takes
    common prefixes in text order after Kasai, and every window but the earliest of a run with a common prefix
    of 100 bytes is a repeat.
@@ -32,6 +34,9 @@ SHARD_BYTES = 4 << 20
 PART_BYTES = 12 << 20
 TEXT_AT_ONCE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What a segment is counted by: 32 bits of its anchor (the bucket holds others) and 48 of its digest.
+ENTRY = np.dtype([("anchor", "<u4"), ("low", "<u4"), ("high", "<u2")])
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def anchors(x: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,6 +84,7 @@ class Segments:
 
     def __init__(self, text: bytes, length: int, gram: int):
         total = len(text) - length + 1
+        self._length = length
         self.anchor, self.start, self.windows = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.grams, self._at, self._width = np.empty(0, np.uint64), np.empty(0, np.int64), length - gram + 1
         if total <= 0:
@@ -97,6 +103,12 @@ class Segments:
         self._at, once = np.unique(np.concatenate(where), return_index=True)
         self.grams = np.concatenate(grams)[once]
 
+    def digests(self, text: bytes) -> np.ndarray:
+        """A 64-bit digest of each segment's bytes."""
+        view, more = memoryview(text), self._length - 1
+        own = (xxhash.xxh64_intdigest(view[s : s + n + more]) for s, n in zip(self.start.tolist(), self.windows.tolist()))
+        return np.fromiter(own, np.uint64, len(self.start))
+
     def inner(self) -> np.ndarray:
         """True for segments that hold their anchor more than once, so that windows inside them may be equal."""
         values, code = np.unique(self.grams, return_inverse=True)
@@ -106,6 +118,10 @@ class Segments:
         return np.searchsorted(places, own + self.windows + self._width - 1) - np.searchsorted(places, own) > 1
 
 
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return (anchor >> np.uint64(40)).astype(np.int64) % buckets
+
+
 def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sa, rank) of a byte array by Larsson-Sadakane doubling from the first seven bytes on."""
     n = len(x)
@@ -241,92 +257,128 @@ class Removal:
         return once.union(both.filter("again").withColumn("nth", nth)).drop("again")
 
     def repeated_anchors(self, rows: DataFrame, parts: int) -> DataFrame:
-        """(part, anchors): for each part of the documents the anchors in it that occur twice or more in the corpus.
+        """(part, bucket, anchors, mixed): for each part of the documents the anchors in it that occur twice or more in
+        the corpus, and whether their segments differ or hold them twice.
 
-        Each task sends its anchors packed by (part, bucket), twice at most; a bucket counts them over all parts.
+        Each task sends its segments packed by (part, bucket), the least and the greatest digest of an anchor, which
+        tells both; a bucket counts them over all parts.
         """
         length, gram, buckets = self.length, self.gram, parts
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in groups_of(batches, "text", 4 * TEXT_AT_ONCE):
-                own, cells = [], []
+                found = []
                 for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
-                    a = Segments(text, length, gram).grams
-                    own.append(a)
-                    cells.append(part * buckets + (a >> np.uint64(20)).astype(np.int64) % buckets)
-                a, cell = np.concatenate(own), np.concatenate(cells)
-                order = np.lexsort((a, cell))
-                a, cell = a[order], cell[order]
-                third = np.zeros(len(a), bool)
-                third[2:] = (a[2:] == a[:-2]) & (cell[2:] == cell[:-2])
-                a, cell = a[~third], cell[~third]
-                cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(a) else np.empty(0, int)
-                blobs = [p.tobytes() for p in np.split(a, cut[1:])] if len(a) else []
+                    own = Segments(text, length, gram)
+                    a, d = own.anchor, own.digests(text) >> np.uint64(16)
+                    twice = own.inner()  # counts as a second, different segment
+                    found.append((np.r_[a, a[twice]], np.r_[d, d[twice] ^ np.uint64(1)], part))
+                a, d = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                part = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+                cell = part * buckets + _bucket(a, buckets)
+                order = np.lexsort((d, a, cell))
+                a, d, cell = a[order], d[order], cell[order]
+                head = np.r_[True, (a[1:] != a[:-1]) | (cell[1:] != cell[:-1])][: len(a)]
+                ends = head | np.r_[head[1:], True][: len(a)]
+                a, d, cell = a[ends], d[ends], cell[ends]
+                entries = np.empty(len(a), ENTRY)
+                entries["anchor"], entries["low"], entries["high"] = a & LOW, d & LOW, d >> np.uint64(32)
+                cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(a)])
+                blobs = [p.tobytes() for p in np.split(entries, cut[1:])][: len(cut)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell[cut] // buckets), pa.array(cell[cut] % buckets), pa.array(blobs, pa.binary())],
-                    names=["part", "bucket", "anchors"],
+                    names=["part", "bucket", "entries"],
                 )
 
         def count(table: pa.Table) -> pa.Table:
-            part = np.array(table["part"].to_pylist(), np.int64)
-            lists = [np.frombuffer(b, np.uint64) for b in table["anchors"].to_pylist()]
-            a = np.concatenate(lists)
-            part = np.repeat(part, [len(x) for x in lists])
-            order = np.lexsort((part, a))
-            a, part = a[order], part[order]
-            same = np.r_[False, a[1:] == a[:-1]]
-            twice = same | np.r_[same[1:], False]
-            first = np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])]
-            a, part = a[twice & first], part[twice & first]
-            order = np.argsort(part, kind="stable")
-            a, part = a[order], part[order]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(a) else np.empty(0, int)
-            blobs = [p.tobytes() for p in np.split(a, cut[1:])] if len(a) else []
-            return pa.table({"part": pa.array(part[cut], pa.int64()), "anchors": pa.array(blobs, pa.binary())})
-
-        sent = rows.select("part", "text").mapInArrow(emit, "part bigint, bucket bigint, anchors binary")
-        return sent.groupBy("bucket").applyInArrow(count, "part bigint, anchors binary")
-
-    def repeated_segments(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
-        """(anchor, digest, doc, nth, start, windows, inner, body) of segments whose anchor repeats. The bytes of equal
-        segments of one part come once."""
+            lists = [np.frombuffer(b, ENTRY) for b in table["entries"].to_pylist()]
+            entries = np.concatenate(lists)
+            part = np.repeat(np.array(table["part"].to_pylist(), np.int64), [len(x) for x in lists])
+            a, d = entries["anchor"], entries["low"].astype(np.uint64) | entries["high"].astype(np.uint64) << np.uint64(32)
+            order = np.lexsort((d, a))
+            a, d, part = a[order], d[order], part[order]
+            same = a[1:] == a[:-1]
+            group = np.cumsum(np.r_[True, ~same]) - 1
+            often = np.bincount(group) > 1
+            mixed = np.bincount(group, np.r_[False, same & (d[1:] != d[:-1])]) > 0
+            keep = often[group]
+            a, part, mixed = a[keep], part[keep], mixed[group][keep]
+            order = np.lexsort((a, part))
+            a, part, mixed = a[order], part[order], mixed[order]
+            once = np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])][: len(a)]
+            a, part, mixed = a[once], part[once], mixed[once]
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(a)])
+            blobs = [[p.tobytes() for p in np.split(x, cut[1:])][: len(cut)] for x in (a, mixed)]
+            return pa.table({
+                "part": pa.array(part[cut], pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * len(cut), pa.int64()),
+                "anchors": pa.array(blobs[0], pa.binary()), "mixed": pa.array(blobs[1], pa.binary()),
+            })
+
+        sent = rows.select("part", "text").mapInArrow(emit, "part bigint, bucket bigint, entries binary")
+        return sent.groupBy("bucket").applyInArrow(count, "part bigint, bucket bigint, anchors binary, mixed binary")
+
+    def repeated_segments(self, rows: DataFrame, shared: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+        """(anchor, digest, doc, nth, start, windows, inner, body) of segments whose anchor repeats, without those of
+        the documents in `copies`. Bytes come for mixed anchors only, and once a part for equal segments."""
         length, gram = self.length, self.gram
         schema = pa.schema([
             ("anchor", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("nth", pa.int32()),
             ("start", pa.int64()), ("windows", pa.int64()), ("inner", pa.bool_()), ("body", pa.binary()),
         ])
 
-        def cut(docs: pa.Table, lists: pa.Table) -> pa.Table:
+        def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
             out: list[list] = [[] for _ in schema]
-            blobs = lists["anchors"].to_pylist()
-            known = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
-            seen: set[tuple[int, int]] = set()
-            if not len(known):
+            whole = set(zip(told["doc"].drop_null().to_pylist(), told["nth"].drop_null().to_pylist()))
+            known, mixed = [], []
+            for bucket, a, m in zip(*[told[c].to_pylist() for c in ("bucket", "anchors", "mixed")]):
+                if a is not None:
+                    known.append(np.frombuffer(a, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+                    mixed.append(np.frombuffer(m, np.bool_))
+            if not known:
                 return pa.Table.from_pylist([], schema=schema)
+            known, mixed = np.concatenate(known), np.concatenate(mixed)
+            order = np.argsort(known)
+            known, mixed = known[order], mixed[order]
+            seen: set[tuple[int, int]] = set()
             for doc, nth, text in zip(docs["doc"].to_pylist(), docs["nth"].to_pylist(), docs["text"]):
+                if (doc, nth) in whole:
+                    continue
                 text = text.as_py()
                 own = Segments(text, length, gram)
-                hit = known[np.minimum(np.searchsorted(known, own.anchor), len(known) - 1)] == own.anchor
+                key = own.anchor & LOW | _bucket(own.anchor, buckets).astype(np.uint64) << np.uint64(32)
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[at] == key
                 if not hit.any():
                     continue
-                columns = own.anchor.view(np.int64), own.start, own.windows, own.inner()
-                for a, s, n, inner in zip(*[c[hit].tolist() for c in columns]):
+                columns = own.anchor.view(np.int64), own.start, own.windows, own.inner(), mixed[at]
+                for a, s, n, inner, mix in zip(*[c[hit].tolist() for c in columns]):
                     body = text[s : s + n + length - 1]
                     d = xxhash.xxh64_intdigest(body) - (1 << 63)
-                    new = (a, d) not in seen
+                    new = mix and (a, d) not in seen
                     if new:
                         seen.add((a, d))
                     for column, value in zip(out, (a, d, doc, nth, s, n, inner, body if new else None)):
                         column.append(value)
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-        by_part = rows.select("part", "doc", "nth", "text").groupBy("part").cogroup(shared.groupBy("part"))
+        told = shared.unionByName(copies.select("part", "doc", "nth"), allowMissingColumns=True)
+        by_part = rows.select("part", "doc", "nth", "text").groupBy("part").cogroup(told.groupBy("part"))
         return by_part.applyInArrow(
             cut,
             "anchor bigint, digest bigint, doc bigint, nth int, start bigint, windows bigint, "
             "inner boolean, body binary",
         )
 
+    def whole_copies(self, rows: DataFrame) -> DataFrame:
+        """(part, doc, nth, bytes) of rows whose whole text, of `length` bytes or more, occurs in an earlier row."""
+        size = F.octet_length("text").alias("bytes")
+        keyed = rows.select("part", "doc", "nth", size, F.unhex(F.sha2("text", 256)).alias("key"))
+        keyed = staged(keyed.filter(F.col("bytes") >= self.length), "texts")
+        place = F.struct("doc", "nth")
+        several = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        copies = keyed.join(several.select("key", "first"), "key").filter(place != F.col("first"))
+        return staged(copies.select("part", "doc", "nth", "bytes"), "copies")
+
     def shard_spans(self, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Repeats inside each shard, and the first windows of anchors that are cut over several shards."""
         length, most = self.length, self.shard_bytes
@@ -419,19 +471,22 @@ class Removal:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(1, -(-total // self.part_bytes))
         placed = rows.withColumn("part", F.pmod(F.xxhash64("doc", "nth"), F.lit(parts)))
-        found = staged(self.repeated_segments(placed, self.repeated_anchors(placed, parts)), "segments")
+        whole = self.whole_copies(placed)
+        found = staged(self.repeated_segments(placed, self.repeated_anchors(placed, parts), whole, parts), "segments")
         place = F.struct("doc", "nth", "start")
         distinct = found.groupBy("anchor", "digest").agg(
             F.min(place).alias("p"), F.max("windows").alias("windows"), F.max("inner").alias("inner"), F.max("body").alias("body"), F.count("*").alias("places")
         )
+        distinct = distinct.filter("places > 1 OR body IS NOT NULL")
         distinct = staged(distinct.select("anchor", "digest", "p.*", "windows", "inner", "body", "places"), "distinct")
         copied = distinct.filter("places > 1").select("anchor", "digest", place.alias("first"))
         copies = found.select("anchor", "digest", "doc", "nth", "start", "windows").join(copied, ["anchor", "digest"])
         copies = copies.filter(place != F.col("first")).select(
             "doc", "nth", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + self.length - 1).alias("hi")
         )
-        inside, firsts = self.shard_spans(distinct)
-        return copies.union(inside).union(self.merged_spans(firsts))
+        inside, firsts = self.shard_spans(distinct.filter("body IS NOT NULL"))
+        all_of = whole.select("doc", "nth", F.lit(0).cast("bigint").alias("lo"), F.col("bytes").cast("bigint").alias("hi"))
+        return copies.union(inside).union(self.merged_spans(firsts)).union(all_of)
 
 
 def remove_repeats(docs: DataFrame, removal: Removal | None = None, texts: bool = False) -> DataFrame:
