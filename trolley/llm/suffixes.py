@@ -30,7 +30,7 @@ from trolley.sources.scratch import staged
 
 LENGTH = 100
 GRAM = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 PART_BYTES = 12 << 20
 TEXT_AT_ONCE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
