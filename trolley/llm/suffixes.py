@@ -34,8 +34,7 @@ SHARD_BYTES = 1 << 20
 PART_BYTES = 12 << 20
 TEXT_AT_ONCE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: What a segment is counted by: 32 bits of its anchor (the bucket holds others) and 48 of its digest.
-ENTRY = np.dtype([("anchor", "<u4"), ("low", "<u4"), ("high", "<u2")])
+#: Low 32 bits: what a segment is counted by, beside its bucket and 48 bits of its digest.
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -122,6 +121,11 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (anchor >> np.uint64(40)).astype(np.int64) % buckets
 
 
+def _keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket and low 32 bits; two anchors that share them are told apart later."""
+    return _bucket(anchor, buckets) << 32 | (anchor & LOW).astype(np.int64)
+
+
 def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sa, rank) of a byte array by Larsson-Sadakane doubling from the first seven bytes on."""
     n = len(x)
@@ -257,11 +261,11 @@ class Removal:
         return once.union(both.filter("again").withColumn("nth", nth)).drop("again")
 
     def repeated_anchors(self, rows: DataFrame, parts: int) -> DataFrame:
-        """(part, bucket, anchors, mixed): for each part of the documents the anchors in it that occur twice or more in
-        the corpus, and whether their segments differ or hold them twice.
+        """(part, known): for each part of the documents the anchors in it that occur twice or more in the corpus, as
+        twice their key (see `_keys`), and one more if their segments differ or hold them twice.
 
-        Each task sends its segments packed by (part, bucket), the least and the greatest digest of an anchor, which
-        tells both; a bucket counts them over all parts.
+        Each task sends, for an anchor of a part, only the segments of the least and the greatest digest, which tells
+        both; a bucket counts them over all parts. Rows grow with the segments, never with parts times buckets.
         """
         length, gram, buckets = self.length, self.gram, parts
 
@@ -275,26 +279,17 @@ class Removal:
                     found.append((np.r_[a, a[twice]], np.r_[d, d[twice] ^ np.uint64(1)], part))
                 a, d = (np.concatenate([f[i] for f in found]) for i in (0, 1))
                 part = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
-                cell = part * buckets + _bucket(a, buckets)
-                order = np.lexsort((d, a, cell))
-                a, d, cell = a[order], d[order], cell[order]
-                head = np.r_[True, (a[1:] != a[:-1]) | (cell[1:] != cell[:-1])][: len(a)]
+                order = np.lexsort((d, a, part))
+                a, d, part = a[order], d[order], part[order]
+                head = np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])][: len(a)]
                 ends = head | np.r_[head[1:], True][: len(a)]
-                a, d, cell = a[ends], d[ends], cell[ends]
-                entries = np.empty(len(a), ENTRY)
-                entries["anchor"], entries["low"], entries["high"] = a & LOW, d & LOW, d >> np.uint64(32)
-                cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(a)])
-                blobs = [p.tobytes() for p in np.split(entries, cut[1:])][: len(cut)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[cut] // buckets), pa.array(cell[cut] % buckets), pa.array(blobs, pa.binary())],
-                    names=["part", "bucket", "entries"],
-                )
+                a, d, part = a[ends], d[ends], part[ends].astype(np.int64)
+                columns = _bucket(a, buckets), part << 32 | (a & LOW).astype(np.int64), d.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "own", "digest"])
 
         def count(table: pa.Table) -> pa.Table:
-            lists = [np.frombuffer(b, ENTRY) for b in table["entries"].to_pylist()]
-            entries = np.concatenate(lists)
-            part = np.repeat(np.array(table["part"].to_pylist(), np.int64), [len(x) for x in lists])
-            a, d = entries["anchor"], entries["low"].astype(np.uint64) | entries["high"].astype(np.uint64) << np.uint64(32)
+            own, d = table["own"].to_numpy(), table["digest"].to_numpy()
+            part, a = own >> 32, own & int(LOW)
             order = np.lexsort((d, a))
             a, d, part = a[order], d[order], part[order]
             same = a[1:] == a[:-1]
@@ -307,15 +302,11 @@ class Removal:
             a, part, mixed = a[order], part[order], mixed[order]
             once = np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])][: len(a)]
             a, part, mixed = a[once], part[once], mixed[once]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(a)])
-            blobs = [[p.tobytes() for p in np.split(x, cut[1:])][: len(cut)] for x in (a, mixed)]
-            return pa.table({
-                "part": pa.array(part[cut], pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * len(cut), pa.int64()),
-                "anchors": pa.array(blobs[0], pa.binary()), "mixed": pa.array(blobs[1], pa.binary()),
-            })
+            known = (table["bucket"][0].as_py() << 32 | a) << 1 | mixed
+            return pa.table({"part": pa.array(part, pa.int64()), "known": pa.array(known, pa.int64())})
 
-        sent = rows.select("part", "text").mapInArrow(emit, "part bigint, bucket bigint, entries binary")
-        return sent.groupBy("bucket").applyInArrow(count, "part bigint, bucket bigint, anchors binary, mixed binary")
+        sent = rows.select("part", "text").mapInArrow(emit, "bucket bigint, own bigint, digest bigint")
+        return sent.groupBy("bucket").applyInArrow(count, "part bigint, known bigint")
 
     def repeated_segments(self, rows: DataFrame, shared: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
         """(anchor, digest, doc, nth, start, windows, inner, body) of segments whose anchor repeats, without those of
@@ -329,23 +320,17 @@ class Removal:
         def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
             out: list[list] = [[] for _ in schema]
             whole = set(zip(told["doc"].drop_null().to_pylist(), told["nth"].drop_null().to_pylist()))
-            known, mixed = [], []
-            for bucket, a, m in zip(*[told[c].to_pylist() for c in ("bucket", "anchors", "mixed")]):
-                if a is not None:
-                    known.append(np.frombuffer(a, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
-                    mixed.append(np.frombuffer(m, np.bool_))
-            if not known:
+            known = np.sort(told["known"].drop_null().to_numpy())
+            if not len(known):
                 return pa.Table.from_pylist([], schema=schema)
-            known, mixed = np.concatenate(known), np.concatenate(mixed)
-            order = np.argsort(known)
-            known, mixed = known[order], mixed[order]
+            known, mixed = known >> 1, (known & 1).astype(bool)
             seen: set[tuple[int, int]] = set()
             for doc, nth, text in zip(docs["doc"].to_pylist(), docs["nth"].to_pylist(), docs["text"]):
                 if (doc, nth) in whole:
                     continue
                 text = text.as_py()
                 own = Segments(text, length, gram)
-                key = own.anchor & LOW | _bucket(own.anchor, buckets).astype(np.uint64) << np.uint64(32)
+                key = _keys(own.anchor, buckets)
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 hit = known[at] == key
                 if not hit.any():
