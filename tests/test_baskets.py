@@ -127,6 +127,21 @@ def test_training_rows(spark, context):
         assert set(r["candidates"][:2]) <= {B, D}
 
 
+def test_padding_takes_the_longest_basket(spark):
+    table = spark.createDataFrame([(1, list(range(200))), (2, [4])], "order_id bigint, last_basket array<bigint>")
+    found = lists(features.padded_history(table), "order_id", "hist_padded")
+    assert found == {1: list(range(1, 201)), 2: [5] + [0] * 199}
+    short = features.padded_history(table.filter("order_id = 2")).first()
+    assert len(short["hist_padded"]) == features.HISTORY_WIDTH
+
+
+def test_popularity_negatives_of_a_big_basket(spark):
+    table = lines(spark, [(1, p, p + 1, 0) for p in range(3000)] + [(2, p, 1, 0) for p in range(3000, 3020)])
+    found = sampling.popularity_negatives(table.filter("order_id = 1"), table, k=3).collect()
+    assert len(found) == 3000
+    assert all(len(r["candidates"]) == 4 and min(r["candidates"][:3]) >= 3000 for r in found)
+
+
 def test_array_helpers(spark):
     one = spark.range(1)
     assert one.select(pad(F.array(F.lit(3).cast("bigint")), 3).alias("v")).first()["v"] == [3, 0, 0]

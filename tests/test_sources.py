@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import lines, orders, rows
 from trolley.operators import baskets
 from trolley.sources import tables, text, views
-from trolley.sources.scratch import scratch_path, staged
+from trolley.sources.scratch import scratch_path, scratch_space, scratch_table, staged
 
 
 def test_recall_list_round_trip(spark, tmp_path):
@@ -84,6 +86,29 @@ def test_staged_table_lies_in_the_shared_folder(spark):
     assert staged(spark.range(3)).count() == 3
 
 
+def test_scratch_space_leaves_nothing_behind(spark):
+    with scratch_space(spark):
+        kept = staged(spark.range(3))
+        folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert kept.count() == 3 and os.path.isdir(folder)
+        name = scratch_table("trolley_gone")
+        spark.range(2).write.saveAsTable(name)
+    assert not os.path.exists(folder) and not spark.catalog.tableExists(name)
+
+
+def test_settings_of_a_write_are_put_back(spark, tmp_path):
+    key = "spark.sql.files.maxRecordsPerFile"
+    before = spark.conf.get(key)
+    tables.write_partition(spark.range(4), "set_days", "2024-01-01", location=str(tmp_path / "d"), settings={key: "1"})
+    assert spark.conf.get(key) == before and spark.table("set_days").count() == 4
+    spark.sql("DROP TABLE set_days")
+
+
+def test_shards_in_several_files(spark, tmp_path):
+    written = tables.write_shards(spark.range(900), str(tmp_path / "salted"), ["id"], n=2, files=4)
+    assert rows(written, "id") == [(i,) for i in range(900)] and len(written.inputFiles()) > 2
+
+
 def test_views_with_hot_keys(spark, tmp_path):
     """A user with most orders and an order with many repeated lines."""
     days = "cast(timestamp_ntz'1995-01-01' + make_interval(0, 0, 0, cast(id % 400 as int)) as timestamp_ntz)"

@@ -25,9 +25,9 @@ def joined(values: Column, sep: str = " ") -> Column:
     return F.coalesce(F.array_join(F.transform(values, lambda v: v.cast("string")), sep), F.lit(""))
 
 
-def pad(values: Column, width: int, fill: int = 0) -> Column:
+def pad(values: Column, width: int | Column, fill: int = 0) -> Column:
     """Right-pad a list to `width`. A longer list is an error, never cut."""
-    missing = F.lit(width) - F.size(values)
+    missing = (F.lit(width) - F.size(values)).cast("int")
     return F.when(
         missing >= 0, F.concat(values, F.array_repeat(F.lit(fill).cast("bigint"), F.greatest(missing, F.lit(0))))
     ).otherwise(F.raise_error(F.concat(F.lit("list longer than the padded width: "), F.size(values).cast("string"))))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from trolley.functions.dates import hour_parts
 from trolley.functions.draws import keep
 from trolley.operators.spread import ROWS_PER_RANGE, global_running_total, hot_key_join
+from trolley.sources.scratch import staged
 
 # The size classes of columns and the grid of inverse penalties.
 FEW, MANY, HIGH = 20, 10_000, 100
@@ -85,7 +86,7 @@ def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = N
     if narrow:
         values = seen.select(F.inline(F.array(*fields))).filter("number is not null or text is not null").distinct()
         place = F.row_number().over(Window.partitionBy("column").orderBy("number", "text")) - 1
-        codes = values.withColumn("_code", place)
+        codes = staged(values.withColumn("_code", place), "codes")  # read once a column
     for c in columns:
         if c not in narrow:
             coded = hot_key_join(df, _wide_codes(seen, c, c in texts), c, "left")
@@ -122,6 +123,8 @@ def dummies(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None)
     wide = set(columns) - set(select_columns(seen, columns, below=FEW))
     if wide:
         raise ValueError(f"columns with {FEW} or more values: {sorted(wide)}")
+    if not columns:
+        return df
     values = seen.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
     flags = [
         F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in columns for v in values[c]

@@ -295,10 +295,11 @@ def wrapped(precision: int) -> tuple[str, str]:
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
 
-    q["broad_table"] = f"""WITH {LINES}
+    for name, split in (("broad_table", "pri"), ("broad_table_train", "trn")):
+        q[name] = f"""WITH {LINES}
 SELECT order_id, user_id, product_id, add_to_cart_order, reordered, order_number, order_dow,
        order_hour_of_day AS order_hod, days_since_prior_order, p_brand AS aisle_id, p_type AS department_id
-FROM pri LEFT JOIN part ON p_partkey = product_id"""
+FROM {split} LEFT JOIN part ON p_partkey = product_id"""
 
     branch = """SELECT ord.order_id, ord.user_id, product_id, ord.order_number, add_to_cart_order, reordered
 FROM ord LEFT JOIN {t} ON {t}.order_id = ord.order_id WHERE ord.eval_set = '{s}'"""
@@ -412,10 +413,11 @@ FROM found GROUP BY order_id, product_id"""
     chained = f"SELECT order_id, user_id, last_order_id, {text('last_basket')} AS last_basket, {text('basket')} AS basket"
     q["prev_basket"] = f"WITH {CHAIN_PRIOR} {chained} FROM filled"
     q["prev_basket_eval"] = f"WITH {CHAIN_TRAIN} {chained} FROM filled"
-    padded = "list_transform(range(1, 146), lambda i: CASE WHEN i <= len(last_basket) THEN last_basket[i] + 1 ELSE 0 END)"
-    q["next_basket_train"] = f"""WITH {CHAIN_PRIOR}{DAYS}{UNIFORM[len(LINES):]}
+    padded = "list_transform(range(1, width + 1), lambda i: CASE WHEN i <= hist_len THEN last_basket[i] + 1 ELSE 0 END)"
+    q["next_basket_train"] = f"""WITH {CHAIN_PRIOR}{DAYS}{UNIFORM[len(LINES):]},
+widths AS (SELECT greatest(max(hist_len), 145) AS width FROM contexts)
 SELECT order_id, dow_idx, hod_idx, days_z, hist_len, {text(padded)} AS hist_padded, product_id, candidates, labels
-FROM contexts JOIN cand USING (order_id)"""
+FROM contexts JOIN cand USING (order_id), widths"""
     q["next_basket_eval"] = f"""WITH {CHAIN_TRAIN}{DAYS}
 SELECT order_id, dow_idx, hod_idx, days_z, hist_len, unnest(basket) AS product_id FROM contexts"""
     flags = [f"CAST((order_dow + 6) % 7 = {i} AS INT) AS dow_{i}" for i in range(7)]
@@ -433,7 +435,8 @@ SELECT name AS "column", n AS n_distinct, CAST(n > 1 AND n < 20 AS INT) AS keep_
     q["ctr_first_seen_encoded"] = f"""WITH {CLICKS},
 c AS (SELECT user_id, row_number() OVER (ORDER BY min(moment), user_id) - 1 AS code FROM log GROUP BY user_id)
 SELECT event_id, code FROM log JOIN c USING (user_id)"""
-    days = ", ".join(f"CAST(weekday = {i} AS INT) AS weekday_{i}" for i in range(7))
+    small = {"weekday": 7, "day_b": 3, "hour_b": 12}  # the columns of 2 to 19 values
+    days = ", ".join(f"CAST({c} = {i} AS INT) AS {c}_{i}" for c, n in small.items() for i in range(n))
     q["ctr_dummies"] = f"WITH {CLICKS} SELECT event_id, click, {days} FROM log"
     q["ctr_small_sample"] = f"WITH {CLICKS} SELECT event_id, click, {days} FROM log WHERE {keep('small', 0.05, 'event_id')}"
     q["ctr_sampled"] = f"""WITH {CLICKS}

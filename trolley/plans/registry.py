@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trolley.functions.arrays import joined
 from trolley.functions import dates
 from trolley.operators import baskets, ctr, evaluate, features, geo, hot, itemcf, sampling, scorer, stats, vectors
+from trolley.operators.spread import hot_key_join
 from trolley.sources import tables, text, views
-from trolley.sources.scratch import scratch_path, staged
+from trolley.sources.scratch import scratch_path, scratch_table, staged
 
 QUERIES: dict = {}
 HOLDOUT = dt.datetime(2024, 1, 25)
@@ -47,6 +48,11 @@ def broad_table(spark: SparkSession, sf: str) -> DataFrame:
     return stats.broad_table(views.prior(views.lines(spark, sf)), views.products(spark, sf))
 
 
+@query
+def broad_table_train(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.broad_table(views.train(views.lines(spark, sf)), views.products(spark, sf))
+
+
 @query
 def all_orders(spark: SparkSession, sf: str) -> DataFrame:
     lines = views.lines(spark, sf)
@@ -182,7 +188,7 @@ def basket_sequences_shuffled(spark: SparkSession, sf: str) -> DataFrame:
 def item2vec_recall(spark: SparkSession, sf: str) -> DataFrame:
     lines = stored_lines(spark, sf)
     history, targets = views.prior(lines), views.train(lines)
-    fitted = vectors.fit_item_vectors(baskets.sequences(history), partitions=8)
+    fitted = vectors.fit_item_vectors(baskets.sequences(history))
     near = vectors.neighbors(fitted).select(
         F.col("item_id").alias("product_id"), F.col("neighbor_id").alias("sim_product_id"), "sim"
     )
@@ -283,7 +289,8 @@ def _prior_days(orders: DataFrame) -> DataFrame:
 def next_basket_train(spark: SparkSession, sf: str) -> DataFrame:
     orders, lines = _chain_tables(spark, sf)
     candidates = sampling.uniform_negatives(views.prior(lines), views.products(spark, sf))
-    rows = features.training_rows(_chained(orders, lines, "prior"), candidates, _prior_days(orders))
+    chained = staged(_chained(orders, lines, "prior"), "chained")  # measured for its width, then read
+    rows = features.training_rows(chained, candidates, _prior_days(orders))
     return baskets.as_text(rows.withColumn("days_z", r6("days_z")), "hist_padded", "candidates", "labels")
 
 
@@ -299,12 +306,12 @@ def slot_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return features.slot_one_hot(views.orders(spark, sf))
 
 
-def _pair_scorer(spark: SparkSession, sf: str, dim: int = 16):
+def _pair_scorer(spark: SparkSession, sf: str, dim: int = 64):
     lines = stored_lines(spark, sf)
     orders = stored_orders(spark, sf)
     history, held_out = views.prior(lines), views.train(lines)
     products = views.products(spark, sf)
-    items = vectors.fit_item_vectors(baskets.sequences(history), dim=dim, partitions=8)
+    items = vectors.fit_item_vectors(baskets.sequences(history), dim=dim)
     items = staged(vectors.with_group_vectors(items, products), "item_vectors")
     days = _prior_days(orders)
     past = staged(features.with_context_features(baskets.next_basket(orders, history, held_out, "prior"), days), "past")
@@ -359,12 +366,20 @@ def ctr_label_encoded_all(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ctr_first_seen_encoded(spark: SparkSession, sf: str) -> DataFrame:
     log = views.clicks(spark, sf)
-    return log.join(ctr.first_seen_codes(log, "user_id", "at"), "user_id").select("event_id", "code")
+    return hot_key_join(log, ctr.first_seen_codes(log, "user_id", "at"), "user_id").select("event_id", "code")
+
+
+def _small_fields(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """The click log with calendar parts, and its fields of more than one and fewer than FEW values."""
+    log = ctr.time_features(views.clicks(spark, sf))
+    fields = ctr.feature_columns(log, ["event_id", "click", "hour", "at", "value"])
+    chosen = ctr.select_columns(log, fields, above=1, below=ctr.FEW)
+    return log.select("event_id", "click", *chosen), chosen
 
 
 @query
 def ctr_dummies(spark: SparkSession, sf: str) -> DataFrame:
-    return ctr.dummies(views.clicks(spark, sf).select("event_id", "click", "weekday"), ["weekday"])
+    return ctr.dummies(*_small_fields(spark, sf))
 
 
 @query
@@ -374,7 +389,8 @@ def ctr_sampled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ctr_small_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return ctr.prepare(views.clicks(spark, sf), "event_id", ["weekday"]).select("event_id", "click", *[f"weekday_{i}" for i in range(7)])
+    log, chosen = _small_fields(spark, sf)
+    return ctr.prepare(log, "event_id", chosen)
 
 
 def _ctr_sets(spark: SparkSession, sf: str, validation: bool = False):
@@ -469,7 +485,7 @@ def csv_array_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _day_table(spark: SparkSession, sf: str, rows: dict) -> tuple[str, str]:
     path = scratch_path(spark, "days")
-    name = "trolley_" + path.rsplit("-", 1)[1]
+    name = scratch_table("trolley_" + path.rsplit("-", 1)[1])
     for day, df in rows.items():
         tables.write_partition(df, name, day, location=path)
     return name, path

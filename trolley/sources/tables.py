@@ -24,11 +24,23 @@ def write_partition(
     """Overwrite one `dt` partition of a table, creating the table from the DataFrame if absent.
 
     An expired partition, or the whole table, can be dropped first. `fmt='text'` gives tab-delimited
-    files. Other partitions are not touched.
+    files. Other partitions are not touched. `settings` hold for this write and are put back.
     """
     spark = df.sparkSession
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
     for key, value in (settings or {}).items():
         spark.conf.set(key, value)
+    try:
+        _write_partition(df, table, dt, old_partition, drop_table, location, fmt)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _write_partition(
+    df: DataFrame, table: str, dt: str, old_partition: str | None, drop_table: bool, location: str | None, fmt: str
+) -> None:
+    spark = df.sparkSession
     if drop_table:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     elif old_partition is not None and _exists(df, table):
@@ -42,14 +54,18 @@ def write_partition(
     spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (dt='{dt}') SELECT {names} FROM {{rows}}", rows=df)
 
 
-def write_shards(df: DataFrame, path: str, keys: list[str], n: int = 100, reuse: bool = True) -> DataFrame:
-    """Disjoint training shards by key hash, one folder a shard; kept if already there."""
+def write_shards(
+    df: DataFrame, path: str, keys: list[str], n: int = 100, reuse: bool = True, files: int = 1
+) -> DataFrame:
+    """Disjoint training shards by key hash, one folder a shard, each written by `files` tasks; kept if already there."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     done = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if not (reuse and done):
         shard = (draw("shard", *[F.col(k) for k in keys]) % n).cast("int")
-        df.withColumn("shard", shard).repartition(n, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+        dealt = df.withColumn("shard", shard).repartition(n * files, "shard", salt)
+        dealt.write.mode("overwrite").partitionBy("shard").parquet(path)
     return spark.read.parquet(path)
 
 
