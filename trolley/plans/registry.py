@@ -306,7 +306,7 @@ def slot_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return features.slot_one_hot(views.orders(spark, sf))
 
 
-def _pair_scorer(spark: SparkSession, sf: str, dim: int = 64):
+def _pair_scorer(spark: SparkSession, sf: str, dim: int = 16):
     lines = stored_lines(spark, sf)
     orders = stored_orders(spark, sf)
     history, held_out = views.prior(lines), views.train(lines)
@@ -370,9 +370,9 @@ def ctr_first_seen_encoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _small_fields(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """The click log with calendar parts, and its fields of more than one and fewer than FEW values."""
+    """The click log with calendar parts, and its fields (ids apart) of more than one and fewer than FEW values."""
     log = ctr.time_features(views.clicks(spark, sf))
-    fields = ctr.feature_columns(log, ["event_id", "click", "hour", "at", "value"])
+    fields = ctr.feature_columns(log, ["event_id", "user_id", "click", "hour", "at", "value"])
     chosen = ctr.select_columns(log, fields, above=1, below=ctr.FEW)
     return log.select("event_id", "click", *chosen), chosen
 
