@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows of up to LENGTH characters, each with an edit budget. If a
+From every word of a benchmark item on, and once at its end, windows of each of LENGTHS characters are cut, each
+with an edit budget. So a copied run of whole words of SHORTEST characters or more begins with a window. If a
 window of length m occurs in a text with at most k edits, at least m - q + 1 - k q of its q-grams occur in
 order inside a stretch of m + k characters. Three steps apply this, each losing nothing:
 
@@ -22,13 +23,15 @@ from trolley.llm.words import as_bytes, groups_of
 from trolley.sources.scratch import staged
 
 Q = 9
-LENGTH = 100
+#: The shortest copied passage that is found; longer windows allow their own share of edits.
+SHORTEST, LENGTH = 60, 100
+LENGTHS = (SHORTEST, LENGTH)
 EDIT_SHARE = 0.08
-#: Items whose normalised text is shorter than this are skipped: too short to tell copying from chance.
+#: Items whose normalised text is shorter than this are matched exactly, at word borders.
 LEAST_CHARS = 40
 TABLE_BITS = 22
 #: Benchmark bytes handled by one pass over the documents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 TEXT_AT_ONCE = 1 << 20
 
 #: For lower-cased text: A-Z to lower case; other ASCII that is neither letter nor digit becomes a space; bytes from 128 stay.
@@ -55,33 +58,68 @@ def _grams(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of benchmark items and the index of their q-grams."""
+    """The windows of a block of benchmark items and the index of their q-grams.
+
+    A q-gram of an item lies in windows that follow each other, so the index names their range.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.item: list[int] = []
         self.text: list[bytes] = []
+        self.short: dict[bytes, list[tuple[bytes, int]]] = {}  # by first word
+        codes, ranges, starts = [np.empty(0, np.uint64)], [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)]
         for item_id, raw in items:
             body = normalised(raw)
             if len(body) < LEAST_CHARS:
+                if body:
+                    self.short.setdefault(body.split(b" ", 1)[0], []).append((body, item_id))
                 continue
-            length = min(LENGTH, len(body))
-            for at in sorted({*range(0, len(body) - length + 1, length // 2), len(body) - length}):
-                self.item.append(item_id)
-                self.text.append(body[at : at + length])
+            x = np.frombuffer(body, np.uint8)
+            words = np.r_[0, np.flatnonzero(x == 32) + 1]
+            grams = _grams(x)
+            place = np.arange(len(grams))
+            for length in sorted({min(n, len(body)) for n in LENGTHS}):
+                own = np.unique(np.r_[words[words <= len(body) - length], len(body) - length])
+                low = np.searchsorted(own, place - (length - Q), "left")
+                high = np.searchsorted(own, place, "right")
+                codes.append(grams)
+                ranges.append(np.column_stack([low, high, place]) + [len(self.item), len(self.item), 0])
+                starts.append(own)
+                self.item += [item_id] * len(own)
+                self.text += [body[at : at + length] for at in own.tolist()]
         self.budget = [int(len(t) * EDIT_SHARE) for t in self.text]
         self.bound = [len(t) - Q + 1 - k * Q for t, k in zip(self.text, self.budget)]
-        own = [_grams(np.frombuffer(t, np.uint8)) for t in self.text]
-        codes = np.concatenate(own) if own else np.empty(0, np.uint64)
-        window = np.repeat(np.arange(len(own)), [len(g) for g in own])
-        offset = np.concatenate([np.arange(len(g)) for g in own]) if own else np.empty(0, int)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.window, self.offset = codes[order], window[order], offset[order]
+        code, table = np.concatenate(codes), np.concatenate(ranges)
+        order = np.argsort(code, kind="stable")
+        self.codes = code[order]
+        self.low, self.high, self.place = table[order].T
+        self.start = np.concatenate(starts)  # of each window in its item
         self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[codes >> np.uint64(64 - TABLE_BITS)] = True
+        self.table[code >> np.uint64(64 - TABLE_BITS)] = True
         self.least = min(self.bound, default=1)
         self.reach = max((len(t) + k for t, k in zip(self.text, self.budget)), default=1)
 
 
+def short_in(text: bytes, windows: Windows) -> dict[int, tuple[int, int, int]]:
+    """item -> (1, 0, first position) for the short items that stand in a normalised text word for word."""
+    out: dict[int, tuple[int, int, int]] = {}
+    at = 0
+    for word in text.split(b" ") if windows.short else []:
+        for body, item in windows.short.get(word, ()):
+            end = at + len(body)
+            if item not in out and text.startswith(body, at) and (end == len(text) or text[end] == 32):
+                out[item] = (1, 0, at)
+        at += len(word) + 1
+    return out
+
+
+def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, member) of every member of the ranges low .. high - 1."""
+    n = high - low
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) + np.repeat(low - (np.cumsum(n) - n), n)
+
+
 def edits_within(pattern: bytes, text: bytes, budget: int) -> int | None:
     """Fewest edits that turn `pattern` into some substring of `text` starting in its first 2 * budget + 1
     places, or None above the budget: rows of the dynamic program hold only a band of diagonals."""
@@ -124,10 +162,10 @@ def find_in(text: bytes, windows: Windows, codes: np.ndarray) -> dict[int, tuple
         return {}
     low = np.searchsorted(windows.codes, codes[maybe], "left")
     high = np.searchsorted(windows.codes, codes[maybe], "right")
-    n = high - low
-    entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    window, place = windows.window[entry], np.repeat(maybe, n)
-    diagonal = place - windows.offset[entry] + LENGTH
+    row, entry = _expanded(low, high)
+    row, entry = maybe[row], entry.astype(np.int64)
+    own, window = _expanded(windows.low[entry], windows.high[entry])
+    diagonal = row[own] - (windows.place[entry][own] - windows.start[window]) + LENGTH
     step = np.array(windows.budget)[window] + 1
     bands = np.concatenate([diagonal // step, diagonal // step - 1])  # band b covers 2 steps from b * step on
     both = np.concatenate([window, window])
@@ -167,10 +205,12 @@ def edits_near(pattern: bytes, text: bytes, at: int, first: int, budget: int) ->
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_windows, edits, position) for every document that holds a window of a benchmark item.
 
-    A window is up to 100 characters of the item (the whole item if shorter), and it may differ by 8 edits in
-    100. `position` is the normalised text's offset, near the first window found. The benchmark is the query
+    Windows are 60 and 100 characters long (the whole item if shorter) and start at every word; 8 % of their
+    length may be edits. Every copied run of whole words of 60 characters or more is found, if no more than 4
+    edits lie in its first 60 characters or 8 in its first 100. Items under 40 characters count as one window
+    that must stand in the text as it is, at word borders. `position` is the normalised text's offset, near the first window found. The benchmark is the query
     set: it is read in blocks of `block_bytes`, one pass over the documents each, and each block's result is
-    written before the next. Items under 40 characters, null texts and null items give no rows; a document or
+    written before the next. Items without letters and digits, null texts and null items give no rows; a document or
     item that appears twice gives its rows twice or once (items are keyed by id). Rows without a doc_id are
     reported with null.
     """
@@ -197,9 +237,10 @@ def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
             codes = _grams(joined)
             rows, start = [], 0
             for i, t in enumerate(texts):
+                found = short_in(t, index)
                 if len(t) >= Q:
-                    own = codes[start : start + len(t) - Q + 1]
-                    rows += [(i, item, *rest) for item, rest in find_in(t, index, own).items()]
+                    found |= find_in(t, index, codes[start : start + len(t) - Q + 1])
+                rows += [(i, item, *rest) for item, rest in found.items()]
                 start += len(t) + 1
             ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
             cut = [pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)]
