@@ -37,3 +37,11 @@ def test_short_items_are_found_at_word_borders(spark):
     rows = [(1, "so: who wrote  it"), (2, "who wrote item"), (3, "awho wrote it"), (4, "why"), (5, "whys"), (6, None)]
     got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1, 0, 3), (4, 2, 1, 0, 0)]
+
+
+def test_a_leak_takes_only_its_own_row(spark):
+    item = "which of the following words describes the colour of the sky on a clear day"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(1, f"so {item} then"), (1, "clean text under the same id"), (None, item.upper()), (None, "clean"), (2, None)]
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "clean"), (1, "clean text under the same id"), (2, "")]

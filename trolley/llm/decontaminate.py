@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from trolley.llm.quality import text_hash
 from trolley.llm.words import as_bytes, groups_of
 from trolley.sources.scratch import staged
 
@@ -253,6 +254,8 @@ def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak. Rows without a doc_id stay: no leak can be told from their id."""
-    leaks = contaminated(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without a leak. A leak lies in the text, so rows are told apart by its hash, not by their doc_id."""
+    hashed = docs.withColumn("_hash", text_hash())
+    leaks = contaminated(hashed.select(F.col("_hash").alias("doc_id"), "text"), benchmark)
+    leaks = leaks.select(F.col("doc_id").alias("_hash")).distinct()
+    return hashed.join(leaks, "_hash", "left_anti").select(*docs.columns)
