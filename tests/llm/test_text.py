@@ -310,7 +310,7 @@ def test_broken_archives_are_errors():
 def test_pipeline_stages(spark):
     """Each stage against a plain version on the same input."""
     import corpus_pipeline as cp
-    from tests.llm.test_documents import fingerprint
+    from tests.llm.test_shingles import groups
     from trolley.llm import decontaminate
 
     docs = table(spark, "documents")
@@ -321,25 +321,7 @@ def test_pipeline_stages(spark):
 
     single = cp.one_of_each(spark, good, FOLDER).cache()
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    prints = [fingerprint(t, 5) | fingerprint(t, 5, 43) << 64 for _, t in rows]
-    # every sampled key is a set of bits: pairs that share one and lie within the radius are linked
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    masks = [sum(1 << b for b in k) for k in cp.KEYS]
-    for i in range(len(rows)):
-        for j in range(i):
-            differ = prints[i] ^ prints[j]
-            if differ.bit_count() <= cp.RADIUS and any(not differ & m for m in masks):
-                parent[find(i)] = find(j)
-    groups = {}
-    for i, (d, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(d)
-    assert sorted(r.doc_id for r in single.collect()) == sorted(min(g) for g in groups.values())
+    assert sorted(r.doc_id for r in single.collect()) == sorted(min(rows[i][0] for i in g) for g in groups(rows, cp.WIDTH))
     assert single.columns == columns
 
     clean = cp.without_benchmark(spark, single, FOLDER).cache()
