@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trolley.llm import decontaminate, pieces, quality, secrets, shingles, simhash
+from trolley.llm import decontaminate, pieces, quality, secrets, shingles
 from trolley.sources.scratch import staged
 
-#: Near copies have 0.8 or more of their 5-word shingles in common (shingles.SIMILAR); WIDTH is the shingles' width.
-#: PARTS, RADIUS and KEYS describe fingerprints that the tests compare with; no stage finds or drops rows by them.
-WIDTH, PARTS, RADIUS = 5, 2, 25
-KEYS = simhash.sampled(64 * PARTS, keys=40, size=16)
+#: Width of the shingles of near copies, which have 0.8 or more of them in common (shingles.SIMILAR).
+WIDTH = 5
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
