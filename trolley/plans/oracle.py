@@ -384,11 +384,14 @@ SELECT vec_id, neighbor_id, round(sim, 6) AS sim, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, neighbor_id) AS INT) AS rank FROM (
     SELECT a.item_id AS vec_id, b.item_id AS neighbor_id, list_cosine_similarity(a.v, b.v) AS sim
     FROM vec a JOIN vec b ON a.item_id <> b.item_id)) WHERE rank <= 10"""
+    q["vector_neighbors_ivf"] = q["vector_neighbors"]
     q["pooled_vectors"] = f"""WITH {VECTORS}
 SELECT label, CAST(dim - 1 AS INT) AS dim, round(avg(x), 6) AS mean_value
 FROM (SELECT label, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM vec) GROUP BY label, dim"""
     q["pooled_recall"] = f"""WITH {POOL}
 SELECT order_id, item_id AS vec_id, round(prob, 6) AS prob, rank FROM ranked WHERE rank <= 10"""
+    q["pooled_recall_ivf"] = f"""WITH {POOL}
+SELECT order_id, item_id AS vec_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"""
     q["pooled_recall_metric"] = f"""WITH {POOL},
 best AS (SELECT order_id, item_id AS product_id FROM ranked WHERE rank <= 10),
 t AS (SELECT order_id, count(*) AS p, count(best.product_id) AS tp

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trolley.functions.arrays import joined
 from trolley.functions import dates
-from trolley.operators import baskets, ctr, evaluate, features, geo, hot, itemcf, sampling, scorer, stats, vectors
+from trolley.operators import baskets, ctr, evaluate, features, geo, hot, itemcf, ivf, sampling, scorer, stats, vectors
 from trolley.operators.spread import hot_key_join
 from trolley.sources import tables, text, views
 from trolley.sources.scratch import scratch_path, scratch_table, staged
@@ -202,6 +202,23 @@ def vector_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("item_id").alias("vec_id"), "neighbor_id", r6("sim"), "rank")
 
 
+@query
+def vector_neighbors_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact list through an inverted file, cells left out by their bounds."""
+    found = ivf.neighbors(views.item_vectors(spark, sf), probes="all")
+    return found.select(F.col("item_id").alias("vec_id"), "neighbor_id", r6("sim"), "rank")
+
+
+@query
+def pooled_recall_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """`pooled_recall` without probabilities, through an inverted file."""
+    history, _ = _eval_history(spark, sf)
+    items = staged(views.item_vectors(spark, sf).select("item_id", "vector"), "catalogue")
+    queries = staged(vectors.pooled(history, items, "order_id").withColumnRenamed("order_id", "query_id"), "pooled")
+    found = ivf.search(queries, ivf.build(items), 10, probes="all")
+    return found.select(F.col("query_id").alias("order_id"), F.col("item_id").alias("vec_id"), r6("score"), "rank")
+
+
 @query
 def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     items = views.item_vectors(spark, sf)
