@@ -249,6 +249,56 @@ def label_codes(condition: str) -> str:
     return f"WITH {CLICKS}, {', '.join(tables)} SELECT event_id, {', '.join(outs)} FROM log {' '.join(joins)}"
 
 
+FIXED_TOWER = POOL + DAYS + """,
+line_share AS (
+  SELECT product_id AS item_id, ln(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM pri)) AS log_q FROM pri GROUP BY ALL),
+item_share AS (
+  SELECT item_id, v, coalesce(log_q, (SELECT min(log_q) FROM line_share)) AS log_q FROM vec LEFT JOIN line_share USING (item_id)),
+x AS (
+  SELECT order_id, list_concat(q, list_transform(range(7), lambda i: CAST(i = dow_idx AS DOUBLE)),
+           list_transform(range(24), lambda i: CAST(i = hod_idx AS DOUBLE)),
+           [coalesce((days_since_prior_order - mean_days) / sd_days, 0)]) AS x
+  FROM pool JOIN contexts USING (order_id), gaps),
+wa AS (SELECT j, list(sin(i * 16 + j) / 4 ORDER BY i) AS w FROM range(96) a(i), range(16) b(j) GROUP BY j),
+hidden AS (
+  SELECT order_id, list(greatest(0::DOUBLE, list_inner_product(x, w) + cos(j) / 10) ORDER BY j) AS h
+  FROM x, wa GROUP BY order_id),
+wb AS (SELECT d, list(cos(j * 64 + d) / 4 ORDER BY j) AS w FROM range(16) a(j), range(64) b(d) GROUP BY d),
+u AS (
+  SELECT order_id, list(list_inner_product(h, w) + sin(d) / 10 ORDER BY d) AS u FROM hidden, wb GROUP BY order_id),
+tower AS (
+  SELECT order_id, item_id AS vec_id, list_inner_product(u, v) + 0.5::DOUBLE * log_q AS score FROM u, item_share),
+best AS (
+  SELECT order_id, vec_id, score, exp(score - max(score) OVER own) / sum(exp(score)) OVER own
+           * exp(max(score) OVER own) AS prob,
+         CAST(row_number() OVER (PARTITION BY order_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank
+  FROM tower WINDOW own AS (PARTITION BY order_id))"""
+
+
+def deepfm_scores(codes: str) -> str:
+    """Forward pass with the registry's fixed weights: hidden layers of 16 and 8, 8 factors."""
+    fields = " UNION ALL ".join(f"SELECT event_id, {i} AS f, {c} AS code FROM codes" for i, c in enumerate(FIELDS))
+
+    def layer(name: str, before: str, values: str, rows: int, columns: int) -> str:
+        return f"""
+{name}_w AS (SELECT j, list(sin(i * {columns} + j) / 4 ORDER BY i) AS w
+             FROM range({rows}) a(i), range({columns}) b(j) GROUP BY j),
+{name} AS (SELECT event_id, list(greatest(0::DOUBLE, list_inner_product({values}, w) + cos(j) / 10) ORDER BY j) AS h
+           FROM {before}, {name}_w GROUP BY event_id)"""
+
+    return f"""WITH codes AS ({codes}), long AS ({fields}),
+e AS (SELECT event_id, f, sin(100 * f + code) / 4 AS linear,
+             list_transform(range(8), lambda d: sin(100 * f + code + 10 * d) / 4) AS e FROM long),
+x AS (SELECT event_id, flatten(list(e ORDER BY f)) AS x, sum(linear) AS linear FROM e GROUP BY event_id),
+one AS (SELECT event_id, unnest(e) AS v, generate_subscripts(e, 1) AS d FROM e),
+pairs AS (SELECT event_id, sum(s * s - q) / 2 AS pairs
+          FROM (SELECT event_id, d, sum(v) AS s, sum(v * v) AS q FROM one GROUP BY ALL) GROUP BY event_id),
+{layer("h1", "x", "x", 48, 16)}, {layer("h2", "h1", "h", 16, 8)}
+SELECT event_id, round(1 / (1 + exp(-(-0.1::DOUBLE + linear + pairs
+         + list_inner_product(h, list_transform(range(8), lambda c: sin(c) / 2))))), 6) AS score
+FROM x JOIN pairs USING (event_id) JOIN h2 USING (event_id)"""
+
+
 def point(table: str, key: str) -> str:
     return (
         f"SELECT {key} AS id, CAST(({key} * 7919) % 18000 AS DOUBLE) / 100 - 90 AS lat, "
@@ -423,6 +473,10 @@ SELECT order_id, dow_idx, hod_idx, days_z, hist_len, {text(padded)} AS hist_padd
 FROM contexts JOIN cand USING (order_id), widths"""
     q["next_basket_eval"] = f"""WITH {CHAIN_TRAIN}{DAYS}
 SELECT order_id, dow_idx, hod_idx, days_z, hist_len, unnest(basket) AS product_id FROM contexts"""
+    q["retriever_fixed"] = f"""WITH {FIXED_TOWER}
+SELECT order_id, vec_id, round(score, 6) AS score, round(prob, 6) AS prob, rank FROM best WHERE rank <= 10"""
+    q["retriever_top_text"] = f"""WITH {FIXED_TOWER}
+SELECT order_id, vec_id AS product_id, round(round(score, 6), 3) AS score FROM best WHERE rank <= 10"""
     flags = [f"CAST((order_dow + 6) % 7 = {i} AS INT) AS dow_{i}" for i in range(7)]
     flags += [f"CAST(order_hour_of_day = {i} AS INT) AS hod_{i}" for i in range(24)]
     q["slot_one_hot"] = f"WITH {ORDERS} SELECT order_id, {', '.join(flags)} FROM ord"
@@ -434,6 +488,7 @@ SELECT event_id, year, month_b, day_b, hour_b, day, hour_of_day AS hour, weekday
 SELECT name AS "column", n AS n_distinct, CAST(n > 1 AND n < 20 AS INT) AS keep_small,
        CAST(n < 10000 AS INT) AS keep_medium, CASE WHEN n > 100 THEN 'high' ELSE 'low' END AS size_class FROM p"""
     q["ctr_label_encoded"] = label_codes("moment < TIMESTAMP '2024-01-25'")
+    q["ctr_deepfm_fixed"] = deepfm_scores(q["ctr_label_encoded"])
     q["ctr_label_encoded_all"] = label_codes("true")
     q["ctr_first_seen_encoded"] = f"""WITH {CLICKS},
 c AS (SELECT user_id, row_number() OVER (ORDER BY min(moment), user_id) - 1 AS code FROM log GROUP BY user_id)

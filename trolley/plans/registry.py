@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trolley.functions.arrays import joined
 from trolley.functions import dates
-from trolley.operators import baskets, ctr, evaluate, features, geo, hot, itemcf, ivf, sampling, scorer, stats, vectors
+from trolley.operators import baskets, ctr, deepfm, evaluate, features, geo, hot, itemcf, ivf, retriever, sampling, scorer, stats, vectors
 from trolley.operators.spread import hot_key_join
 from trolley.sources import tables, text, views
 from trolley.sources.scratch import scratch_path, scratch_table, staged
@@ -349,6 +350,72 @@ def pair_scorer_metric(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.recall_at(found, truth, 10).select("tp", "p", r6("recall"))
 
 
+def _retriever_tables(spark: SparkSession, sf: str):
+    """Prior lines, prior orders and held-out orders with their last baskets and context, held-out lines."""
+    orders, lines = _chain_tables(spark, sf)
+    days = _prior_days(orders)
+    past, target = (
+        staged(features.with_context_features(_chained(orders, lines, part), days), part) for part in ("prior", "train")
+    )
+    return views.prior(lines), past, target, views.train(lines)
+
+
+def _retriever(spark: SparkSession, sf: str, dim: int = 64):
+    history, past, target, truth = _retriever_tables(spark, sf)
+    items = vectors.fit_item_vectors(baskets.sequences(history), dim=dim)
+    items = vectors.normalised(vectors.with_group_vectors(staged(items, "items"), views.products(spark, sf)))
+    items = staged(retriever.with_shares(items, history), "items")
+    bought = past.select("order_id", F.explode("basket").alias("product_id"))
+    blocks = retriever.training_blocks(bought, retriever.inputs(past, items), items, history)
+    model = retriever.fit(blocks, 3 * dim)
+    return retriever.recall(model, retriever.inputs(target, items), items), truth
+
+
+@query
+def retriever_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best items of each held-out order by the retriever trained with a sampled softmax."""
+    found = _retriever(spark, sf)[0]
+    return found.select("order_id", "product_id", r6("score"), r6("prob"), "rank")
+
+
+@query
+def retriever_metric(spark: SparkSession, sf: str) -> DataFrame:
+    found, truth = _retriever(spark, sf)
+    return evaluate.recall_at(found, truth, 10).select("tp", "p", r6("recall"))
+
+
+@query
+def retriever_top_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of `retriever_fixed` in the recall list's text form, written and read back."""
+    path = scratch_path(spark, "retriever-list")
+    found = retriever_fixed(spark, sf).select("order_id", F.col("vec_id").alias("product_id"), F.round("score", 3).alias("score"))
+    text.save_recall_list(found, path)
+    return text.long_form(text.read_recall_list(spark, path))
+
+
+def _fixed_tower(dim: int, hidden: int = 16) -> retriever.Tower:
+    """Weights from a rule, so that SQL can repeat them."""
+    shape = retriever.Tower.shape(dim, hidden)
+    flat = np.zeros(shape.size)
+    p = shape.views(flat)
+    p["A"][:] = np.sin(np.arange(p["A"].size).reshape(p["A"].shape)) / 4
+    p["a"][:] = np.cos(np.arange(hidden)) / 10
+    p["B"][:] = np.cos(np.arange(p["B"].size).reshape(p["B"].shape)) / 4
+    p["b"][:] = np.sin(np.arange(dim)) / 10
+    p["popularity"][:] = 0.5
+    return retriever.Tower(dim, shape, flat)
+
+
+@query
+def retriever_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Scoring by given weights over the stored vectors."""
+    history, _, target, _ = _retriever_tables(spark, sf)
+    known = views.item_vectors(spark, sf)
+    items = staged(retriever.with_shares(known, history), "items")
+    found = retriever.recall(_fixed_tower(64), retriever.inputs(target, items), items)
+    return found.select("order_id", F.col("product_id").alias("vec_id"), r6("score"), r6("prob"), "rank")
+
+
 # Click prediction
 
 
@@ -459,6 +526,50 @@ def ctr_fm_mlp(spark: SparkSession, sf: str) -> DataFrame:
     return _ctr_result("fm_mlp", ctr.blended(*pair, "event_id"))
 
 
+def _coded_log(spark: SparkSession, sf: str, fields: list[str] | None = None):
+    """The click log with fields as codes, their sizes (one code for unknown values), and the fitted rows' draw."""
+    log = views.clicks(spark, sf)
+    seen = ctr.sampled(_fitted_rows(log), "event_id", "click") if fields is None else _fitted_rows(log)
+    fields = fields or ctr.select_columns(log, CTR_FIELDS, above=1, below=ctr.MANY)
+    known = {r["column"]: r["n_distinct"] for r in ctr.column_profile(seen, fields).collect()}
+    coded = ctr.label_codes(log, fields, fit=seen).select("event_id", "click", "at", *fields)
+    return staged(coded, "coded"), fields, [known[c] + 1 for c in fields]
+
+
+@query
+def ctr_deepfm(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out AUC of the deep factorisation machine: one model, one loss, shared embeddings."""
+    coded, fields, sizes = _coded_log(spark, sf)
+    train = ctr.sampled(_fitted_rows(coded), "event_id", "click").filter(F.col("part") == "train")
+    model = deepfm.fit(deepfm.coded(train, fields, "click", "event_id"), sizes, "event_id")
+    test = coded.filter(F.col("at") >= F.lit(HOLDOUT).cast("timestamp_ntz"))
+    scored = deepfm.scores(model, deepfm.coded(test, fields, "click", "click"), "click")
+    return _ctr_result("deepfm", scored)
+
+
+def _fixed_deepfm(sizes: list[int], hidden: tuple[int, int] = (16, 8)) -> deepfm.DeepFM:
+    """Weights from a rule, so that SQL can repeat them."""
+    model = deepfm.begun(sizes, hidden=hidden)
+    p = model.layout.views(model.flat)
+    place = np.concatenate([100 * f + np.arange(n) for f, n in enumerate(sizes)])
+    p["bias"][:] = -0.1
+    p["linear"][:] = np.sin(place) / 4
+    p["embedding"][:] = np.sin(place[:, None] + 10 * np.arange(deepfm.FACTORS)) / 4
+    for i, n in enumerate(hidden):
+        p[f"w{i}"][:] = np.sin(np.arange(p[f"w{i}"].size).reshape(p[f"w{i}"].shape)) / 4
+        p[f"b{i}"][:] = np.cos(np.arange(n)) / 10
+    p["out"][:] = np.sin(np.arange(hidden[-1])) / 2
+    return model
+
+
+@query
+def ctr_deepfm_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The deep factorisation machine's forward pass with given weights, over the whole log."""
+    coded, fields, sizes = _coded_log(spark, sf, CTR_FIELDS)
+    rows = deepfm.coded(coded, fields, "click", "event_id")
+    return deepfm.scores(_fixed_deepfm(sizes), rows, "event_id").select("event_id", r6("score"))
+
+
 @query
 def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.auc(views.clicks(spark, sf), "click", "value").select(r6("auc"))
