@@ -471,6 +471,7 @@ FROM found GROUP BY order_id, product_id"""
 widths AS (SELECT greatest(max(hist_len), 145) AS width FROM contexts)
 SELECT order_id, dow_idx, hod_idx, days_z, hist_len, {text(padded)} AS hist_padded, product_id, candidates, labels
 FROM contexts JOIN cand USING (order_id), widths"""
+    q["prepared_train"] = q["next_basket_train"]
     q["next_basket_eval"] = f"""WITH {CHAIN_TRAIN}{DAYS}
 SELECT order_id, dow_idx, hod_idx, days_z, hist_len, unnest(basket) AS product_id FROM contexts"""
     q["retriever_fixed"] = f"""WITH {FIXED_TOWER}
@@ -493,6 +494,9 @@ SELECT name AS "column", n AS n_distinct, CAST(n > 1 AND n < 20 AS INT) AS keep_
     q["ctr_first_seen_encoded"] = f"""WITH {CLICKS},
 c AS (SELECT user_id, row_number() OVER (ORDER BY min(moment), user_id) - 1 AS code FROM log GROUP BY user_id)
 SELECT event_id, code FROM log JOIN c USING (user_id)"""
+    q["ctr_incremental_encoded"] = q["ctr_first_seen_encoded"]
+    q["ctr_sketched_profile"] = f"""WITH {CLICKS}, p AS ({profile})
+SELECT name AS "column", n AS n_distinct, CAST(1 AS INT) AS within_bound FROM p"""
     small = {"weekday": 7, "day_b": 3, "hour_b": 12}  # the columns of 2 to 19 values
     days = ", ".join(f"CAST({c} = {i} AS INT) AS {c}_{i}" for c, n in small.items() for i in range(n))
     q["ctr_dummies"] = f"WITH {CLICKS} SELECT event_id, click, {days} FROM log"
@@ -500,6 +504,18 @@ SELECT event_id, code FROM log JOIN c USING (user_id)"""
     q["ctr_sampled"] = f"""WITH {CLICKS}
 SELECT event_id, click, CASE WHEN {keep("valid", 0.15, "event_id")} THEN 'valid' ELSE 'train' END AS part FROM log
 WHERE {keep("rows", 0.7, "event_id")} AND (click = 1 OR {keep("negatives", 0.2, "event_id")})"""
+    q["auc_histogram"] = f"""WITH {CLICKS},
+span AS (SELECT min(value) AS low, max(value) AS high FROM log),
+r AS (SELECT click, CAST((value - low) / (high - low) * 256 AS DOUBLE) AS place FROM log, span),
+b AS (SELECT *, least(floor(place), 255) AS bin FROM r),
+n AS (SELECT bin, count(*) * 256 > (SELECT count(*) FROM b) AS crowded FROM b GROUP BY bin),
+c AS (SELECT bin, CASE WHEN crowded THEN least(floor((place - bin) * 256), 255) ELSE 0 END AS inside, click
+      FROM b JOIN n USING (bin)),
+t AS (SELECT bin, inside, CAST(sum(click) AS DOUBLE) AS p, CAST(sum(1 - click) AS DOUBLE) AS q FROM c GROUP BY ALL),
+e AS (SELECT *, coalesce(sum(q) OVER (ORDER BY bin, inside ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM t)
+SELECT round(sum(p * below + p * q / 2) / (sum(p) * sum(q)), 6) AS auc,
+       round(sum(p * q / 2) / (sum(p) * sum(q)), 6) AS error FROM e"""
     q["auc_exact"] = f"""WITH {CLICKS},
 r AS (SELECT click, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS r FROM log),
 s AS (SELECT CAST(sum(click) AS DOUBLE) AS p, CAST(count(*) - sum(click) AS DOUBLE) AS n,
@@ -544,6 +560,14 @@ FROM ({cells(BOTH, 5)}) GROUP BY x, y"""
     q["geo_neighbours"] = f"""
 SELECT {cell_text("x", "y", 5)} AS cell, place, direction, {cell_text(nx, ny, 5)} AS neighbour
 FROM (SELECT DISTINCT x, y FROM ({cells(BOTH, 5)})), {around(5, False)}"""
+    apart = (
+        "pow(sin(radians(s.lat - c.lat) / 2), 2) "
+        "+ cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - c.lng) / 2), 2)"
+    )
+    q["geo_within_distance"] = f"""
+WITH c AS ({point("customer", "c_custkey")}), s AS ({point("supplier", "s_suppkey")})
+SELECT c.id AS c_custkey, count(s.id) AS n_within
+FROM c LEFT JOIN s ON 2 * 6371.0088::DOUBLE * asin(sqrt(least(1, {apart}))) <= 1500 GROUP BY c.id"""
     nx, _ = wrapped(2)
     q["geo_proximity_join"] = f"""
 WITH c AS ({cells(point("customer", "c_custkey"), 2)}), s AS ({cells(point("supplier", "s_suppkey"), 2)})

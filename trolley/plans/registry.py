@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trolley.functions.arrays import joined
 from trolley.functions import dates
-from trolley.operators import baskets, ctr, deepfm, evaluate, features, geo, hot, itemcf, ivf, retriever, sampling, scorer, stats, vectors
+from trolley.operators import (
+    baskets, ctr, deepfm, dictionary, distance, evaluate, features, geo, hot, itemcf, ivf, retriever, sampling, scorer,
+    sketches, skipgram, stats, vectors,
+)
 from trolley.operators.spread import hot_key_join
-from trolley.sources import tables, text, views
+from trolley.sources import prepared, tables, text, views
 from trolley.sources.scratch import scratch_path, scratch_table, staged
 
 QUERIES: dict = {}
@@ -197,6 +200,19 @@ def item2vec_recall(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("order_id", "product_id", r6("score"))
 
 
+@query
+def item2vec_blocks_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """`item2vec_recall` with vectors trained in blocks and neighbours searched through an inverted file."""
+    lines = stored_lines(spark, sf)
+    history, targets = views.prior(lines), views.train(lines)
+    fitted = skipgram.fit_item_vectors(baskets.sequences(history), "order_id", dim=64)
+    near = ivf.neighbors(fitted).select(
+        F.col("item_id").alias("product_id"), F.col("neighbor_id").alias("sim_product_id"), "sim"
+    )
+    found = itemcf.recall(targets, staged(itemcf.triggers(history), "triggers"), staged(near, "near"))
+    return found.select("order_id", "product_id", r6("score"))
+
+
 @query
 def vector_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     found = vectors.neighbors(views.item_vectors(spark, sf))
@@ -319,6 +335,25 @@ def next_basket_eval(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("days_z", r6("days_z"))
 
 
+@query
+def prepared_train(spark: SparkSession, sf: str) -> DataFrame:
+    """`next_basket_train` from two prepared tables, bucketed by order, that are kept and read back."""
+    orders, lines = _chain_tables(spark, sf)
+    found = sampling.uniform_negatives(views.prior(lines), views.products(spark, sf))
+    chained = staged(_chained(orders, lines, "prior"), "chained")
+    rows = features.padded_history(features.with_context_features(chained, _prior_days(orders)))
+    contexts = rows.select("order_id", "dow_idx", "hod_idx", "days_z", "hist_len", "hist_padded")
+    sides = []
+    for name, side in (("contexts", contexts), ("candidates", found)):
+        path = scratch_path(spark, name)
+        table = scratch_table(f"trolley_{name}_" + path.rsplit("-", 1)[1])
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        prepared.kept(side, table, "order_id", buckets, sf, path)
+        sides.append(prepared.kept(side, table, "order_id", buckets, sf, path))  # read back, not written again
+    joined_rows = sides[0].join(sides[1], "order_id").withColumn("days_z", r6("days_z"))
+    return baskets.as_text(joined_rows, "hist_padded", "candidates", "labels")
+
+
 @query
 def slot_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return features.slot_one_hot(views.orders(spark, sf))
@@ -453,6 +488,32 @@ def ctr_first_seen_encoded(spark: SparkSession, sf: str) -> DataFrame:
     return hot_key_join(log, ctr.first_seen_codes(log, "user_id", "at"), "user_id").select("event_id", "code")
 
 
+@query
+def ctr_incremental_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """First-seen codes from a stored dictionary that three chunks of the log extend one after the other."""
+    log = views.clicks(spark, sf)
+    path = scratch_path(spark, "dictionary")
+    cuts = [None, dt.datetime(2024, 1, 10), HOLDOUT, None]
+    for start, stop in zip(cuts, cuts[1:]):
+        later = F.lit(True) if start is None else F.col("at") >= F.lit(start).cast("timestamp_ntz")
+        earlier = F.lit(True) if stop is None else F.col("at") < F.lit(stop).cast("timestamp_ntz")
+        known = dictionary.extend(path, log.filter(later & earlier), "user_id", "at")
+    return dictionary.encode(log.select("event_id", "user_id"), known, "user_id").select("event_id", "code")
+
+
+@query
+def ctr_sketched_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact distinct counts, and whether the estimate from daily sketches keeps its error bound."""
+    log = ctr.time_features(views.clicks(spark, sf)).withColumn("date", F.to_date("at"))
+    fields = ctr.feature_columns(log, ["event_id", "click", "hour", "at", "value", "date"])
+    days = staged(sketches.daily(log, "date", fields), "sketches")
+    rough = sketches.estimates(days, fields).select("column", F.col("n_distinct").alias("rough"))
+    exact = ctr.column_profile(log, fields).select("column", "n_distinct")
+    off = F.abs(F.col("rough") - F.col("n_distinct"))
+    within = (off <= F.ceil(F.col("n_distinct") * sketches.error_bound())).cast("int")
+    return exact.join(rough, "column").select("column", "n_distinct", within.alias("within_bound"))
+
+
 def _small_fields(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """The click log with calendar parts, and its fields (ids apart) of more than one and fewer than FEW values."""
     log = ctr.time_features(views.clicks(spark, sf))
@@ -575,6 +636,12 @@ def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.auc(views.clicks(spark, sf), "click", "value").select(r6("auc"))
 
 
+@query
+def auc_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """The area from counts a score range, and the error it can have."""
+    return evaluate.auc_bounds(views.clicks(spark, sf), "click", "value").select(r6("auc"), r6("error"))
+
+
 # Sinks
 
 
@@ -698,6 +765,14 @@ def geo_proximity_join(spark: SparkSession, sf: str) -> DataFrame:
     return geo.proximity_join(customers, suppliers, precision=2).withColumnRenamed("id", "c_custkey")
 
 
+@query
+def geo_within_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers within 1,500 km of each customer, by great-circle distance."""
+    customers = views.points(spark, sf, "customer", "c_custkey")
+    suppliers = views.points(spark, sf, "supplier", "s_suppkey")
+    return distance.within_distance(customers, suppliers, 1500.0).withColumnRenamed("id", "c_custkey")
+
+
 @query
 def geo_cell_hot(spark: SparkSession, sf: str) -> DataFrame:
     purchases = views.prior(views.lines(spark, sf)).select("user_id", "product_id")

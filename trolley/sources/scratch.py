@@ -48,6 +48,21 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: str | None, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write the next state of an iteration, then remove the one before: (table, its path)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    if old is not None:
+        _remove(spark, old)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def scratch_space(spark: SparkSession) -> Iterator[None]:
     """Remove what queries stage inside the block when it ends. Write or collect their results before that."""
@@ -61,5 +76,4 @@ def scratch_space(spark: SparkSession) -> Iterator[None]:
         for table in names:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(spark, path)
