@@ -398,6 +398,7 @@ WHERE (order_dow, order_hour_of_day) IN (SELECT (order_dow, order_hour_of_day) F
 
     q["item_pairs"] = f"WITH {SIM} SELECT product_id1, product_id2, round(pair_weight, 6) AS pair_weight FROM pair"
     q["itemcf_sim"] = f"WITH {SIM} SELECT product_id, sim_product_id, sim, rank FROM sims"
+    q["itemcf_sim_pruned"] = q["itemcf_sim"]
     q["user_triggers"] = f"""WITH {LINES}{TRIGGERS}
 SELECT user_id, product_id, last_order_number, times, rank FROM starts"""
     q["user_triggers_by_times"] = f"""WITH {LINES}{TRIGGERS}

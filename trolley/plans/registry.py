@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trolley.functions.arrays import joined
 from trolley.functions import dates
 from trolley.operators import (
-    baskets, ctr, deepfm, dictionary, distance, evaluate, features, geo, hot, itemcf, ivf, retriever, sampling, scorer,
+    baskets, ctr, deepfm, dictionary, distance, evaluate, features, geo, hot, itemcf, ivf, pruned, retriever, sampling, scorer,
     sketches, skipgram, stats, vectors,
 )
 from trolley.operators.spread import hot_key_join
@@ -136,6 +136,14 @@ def itemcf_sim(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("product_id", "sim_product_id", "sim", "rank")
 
 
+@query
+def itemcf_sim_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """`itemcf_sim` with baskets of more than three items visited only where they can change a list."""
+    lines = staged(views.prior(views.lines(spark, sf)), "lines")
+    found = pruned.similarity(lines, reorder_weight=1, split_above=3, block_items=256)
+    return found.select("product_id", "sim_product_id", "sim", "rank")
+
+
 @query
 def user_triggers(spark: SparkSession, sf: str) -> DataFrame:
     return itemcf.triggers(views.prior(views.lines(spark, sf)))
