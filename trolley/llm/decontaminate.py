@@ -68,6 +68,7 @@ class Windows:
         self.item: list[int] = []
         self.text: list[bytes] = []
         self.short: dict[bytes, list[tuple[bytes, int]]] = {}  # by first word
+        self._places: dict[int, dict[int, int]] = {}
         codes, ranges, starts = [np.empty(0, np.uint64)], [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)]
         for item_id, raw in items:
             body = normalised(raw)
@@ -88,8 +89,9 @@ class Windows:
                 starts.append(own)
                 self.item += [item_id] * len(own)
                 self.text += [body[at : at + length] for at in own.tolist()]
-        self.budget = [int(len(t) * EDIT_SHARE) for t in self.text]
-        self.bound = [len(t) - Q + 1 - k * Q for t, k in zip(self.text, self.budget)]
+        sizes = np.array([len(t) for t in self.text], np.int64)
+        self.budget = (sizes * EDIT_SHARE).astype(np.int64)
+        self.bound = sizes - Q + 1 - self.budget * Q
         code, table = np.concatenate(codes), np.concatenate(ranges)
         order = np.argsort(code, kind="stable")
         self.codes = code[order]
@@ -97,8 +99,14 @@ class Windows:
         self.start = np.concatenate(starts)  # of each window in its item
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[code >> np.uint64(64 - TABLE_BITS)] = True
-        self.least = min(self.bound, default=1)
-        self.reach = max((len(t) + k for t, k in zip(self.text, self.budget)), default=1)
+        self.least = int(self.bound.min(initial=LENGTH))
+        self.reach = int((sizes + self.budget).max(initial=1))
+
+    def places(self, window: int) -> dict[int, int]:
+        """Bits of the window's characters, made when first asked for."""
+        if window not in self._places:
+            self._places[window] = places_of(self.text[window])
+        return self._places[window]
 
 
 def short_in(text: bytes, windows: Windows) -> dict[int, tuple[int, int, int]]:
@@ -121,30 +129,40 @@ def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) + np.repeat(low - (np.cumsum(n) - n), n)
 
 
-def edits_within(pattern: bytes, text: bytes, budget: int) -> int | None:
-    """Fewest edits that turn `pattern` into some substring of `text` starting in its first 2 * budget + 1
-    places, or None above the budget: rows of the dynamic program hold only a band of diagonals."""
-    if (at := text.find(pattern)) >= 0 and at <= 2 * budget:
-        return 0
-    width = 4 * budget + 1  # start within 2 * budget places, drift by the budget to either side
-    a = np.frombuffer(text, np.uint8)
-    big = budget + 1
-    # cell d of row i is text position i + d - budget
-    shift = np.arange(width) - budget
-    row = np.where((shift >= 0) & (shift <= min(2 * budget, len(a))), 0, big)
-    ramp = np.arange(width)
-    for i, c in enumerate(pattern, 1):
-        at = i + shift  # characters consumed at each cell
-        same = np.full(width, big)
-        inside = (at >= 1) & (at <= len(a))
-        same[inside] = row[inside] + (a[at[inside] - 1] != c)
-        down = np.append(row[1:], big) + 1
-        row = np.minimum(same, down)
-        row = np.minimum.accumulate(row - ramp) + ramp  # insertions along the row
-        row = np.where((at >= 0) & (at <= len(a)), row, big)
-        if row.min() > budget:
-            return None
-    return int(row.min()) if row.min() <= budget else None
+def places_of(pattern: bytes) -> dict[int, int]:
+    """The places of every character of a pattern, as bits."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def edits_within(places: dict[int, int], length: int, stretch: bytes, budget: int) -> int | None:
+    """Fewest edits that turn a pattern into some substring of `stretch`, None above the budget.
+
+    Bit-parallel dynamic program: one column a character of the stretch, whose rises and falls from row to row are the
+    bits of two integers.
+    """
+    whole, last = (1 << length) - 1, 1 << (length - 1)
+    up, down, score, best = whole, 0, length, budget + 1
+    for c in stretch:
+        same = places.get(c, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        rise = (down | ~(across | up)) & whole
+        fall = up & across
+        if rise & last:
+            score += 1
+        elif fall & last:
+            score -= 1
+            if score < best:
+                best = score
+                if not best:
+                    return 0
+        rise <<= 1
+        up = (fall << 1 | ~(vertical | rise)) & whole
+        down = rise & vertical
+    return best if best <= budget else None
 
 
 def find_in(text: bytes, windows: Windows, codes: np.ndarray) -> dict[int, tuple[int, int, int]]:
@@ -166,23 +184,31 @@ def find_in(text: bytes, windows: Windows, codes: np.ndarray) -> dict[int, tuple
     row, entry = _expanded(low, high)
     row, entry = maybe[row], entry.astype(np.int64)
     own, window = _expanded(windows.low[entry], windows.high[entry])
-    diagonal = row[own] - (windows.place[entry][own] - windows.start[window]) + LENGTH
-    step = np.array(windows.budget)[window] + 1
+    # a window without enough hits in the whole text has no band with enough of them
+    enough = np.bincount(window, minlength=len(windows.bound)) >= windows.bound
+    kept = enough[window]
+    own, window = own[kept], window[kept]
+    place = windows.place[entry][own] - windows.start[window]  # of the q-gram in its window
+    diagonal = row[own] - place + LENGTH
+    step = windows.budget[window] + 1
     bands = np.concatenate([diagonal // step, diagonal // step - 1])  # band b covers 2 steps from b * step on
-    both = np.concatenate([window, window])
-    key = np.unique(both.astype(np.int64) << 40 | (bands + 1))
-    sure = np.searchsorted(key, both.astype(np.int64) << 40 | (bands + 1))
-    hits = np.bincount(sure, minlength=len(key))
+    key = np.concatenate([window, window]).astype(np.int64) << 40 | (bands + 1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first_hit = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    hits = np.diff(np.r_[first_hit, len(key)])
+    key, place = key[first_hit], np.concatenate([place, place])[order]
     out: dict[int, tuple[int, int, int]] = {}
     done: set[int] = set()
-    for k in np.flatnonzero(hits >= np.array(windows.bound)[key >> 40]).tolist():
+    for k in np.flatnonzero(hits >= windows.bound[key >> 40]).tolist():
         w = int(key[k] >> 40)
-        if w in done:
+        # the bound counts different q-grams of the window; a repetitive text hits the same ones again
+        if w in done or len(set(place[first_hit[k] : first_hit[k] + hits[k]].tolist())) < windows.bound[w]:
             continue
-        budget, pattern = windows.budget[w], windows.text[w]
+        budget, pattern = int(windows.budget[w]), windows.text[w]
         first = (int(key[k] & ((1 << 40) - 1)) - 1) * (budget + 1) - LENGTH
         at = max(0, first - budget)
-        edits = edits_near(pattern, text, at, first, budget)
+        edits = edits_near(windows.places(w), pattern, text, at, first, budget)
         if edits is None:
             continue
         done.add(w)
@@ -192,15 +218,10 @@ def find_in(text: bytes, windows: Windows, codes: np.ndarray) -> dict[int, tuple
     return out
 
 
-def edits_near(pattern: bytes, text: bytes, at: int, first: int, budget: int) -> int | None:
+def edits_near(places: dict[int, int], pattern: bytes, text: bytes, at: int, first: int, budget: int) -> int | None:
     """Fewest edits of a window against the stretch its diagonal band allows, None above the budget."""
-    room = first - at  # a band at the very start of the text has less room before it
     stretch = text[at : max(at, first) + 2 * (budget + 1) + len(pattern) + 2 * budget]
-    if pattern in stretch:
-        return 0
-    starts = range(0, max(1, room + 2 * (budget + 1) + budget), 2 * budget + 1)
-    found = [edits_within(pattern, stretch[s:], budget) for s in starts]
-    return min((n for n in found if n is not None), default=None)
+    return 0 if pattern in stretch else edits_within(places, len(pattern), stretch, budget)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
