@@ -91,3 +91,21 @@ def test_stage_drops_only_verified_copies(spark):
     rows = sorted(map(tuple, docs.collect()))
     got = sorted(r.doc_id for r in cp.one_of_each(spark, docs, "").collect())
     assert got == sorted(min(rows[i][0] for i in g) for g in groups(rows, 5))
+
+
+def test_bit_sliced_radius_is_exact_and_loses_no_similar_sets():
+    np = shingles.np
+    rng = np.random.default_rng(5)
+    for n in (1, 63, 64, 200):
+        differ = np.packbits(rng.random((n, shingles.PRINT_BITS)) < rng.random((n, 1)), axis=1)
+        radius = rng.integers(0, 700, n)
+        want = np.unpackbits(differ, axis=1).sum(axis=1) <= radius
+        assert (shingles.within(differ, radius) == want).all()
+    for size in (1, 4, 5, 30, 400):
+        base = rng.integers(0, 2**64, 2 * size, np.uint64)
+        for common in range(size + 1):
+            a, b = np.unique(base[:size]), np.unique(base[size - common : 2 * size - common])
+            overlap = len(np.intersect1d(a, b))
+            if 5 * overlap >= 4 * (len(a) + len(b) - overlap):
+                x = np.frombuffer(shingles.fingerprint(a), np.uint8) ^ np.frombuffer(shingles.fingerprint(b), np.uint8)
+                assert shingles.within(x[None, :], np.array([(len(a) + len(b)) // 9])).all()

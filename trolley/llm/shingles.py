@@ -3,8 +3,14 @@
 Prefix filtering: under one order of all shingles, two sets of similarity t or more share a shingle among the
 first n - ceil(t n) + 1 of each, so sets that meet under no such key need no comparison. Any order keeps this
 true; shingles that are common in a sample of the texts come last, which keeps frequent passages out of the
-prefixes. Candidates are compared as sets. Texts with equal sets are one node, and stars inside the keys join
-most of a large group before the pairs still apart are listed, so a group of near copies is not all its pairs.
+prefixes. Texts with equal sets are one node, and stars inside the keys join most of a large group before the pairs still
+apart are listed, so a group of near copies is not all its pairs.
+
+Candidates are first compared by fingerprints. Every shingle of a set flips one of PRINT_BITS bits, so two fingerprints
+differ in no more bits than the sets differ in shingles, which for similar sets is (1 - t) / (1 + t) of both sizes at
+most: this radius loses no pair. The comparison is bit-sliced: the differing bits of 64 pairs are one word a bit plane,
+carry-save counters add the planes up, each pair from its own start so that it overflows beyond its own radius, and words
+whose 64 pairs have all overflowed are abandoned. What is left is verified on the whole sets, which travel for these only.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from trolley.llm.components import components
 from trolley.llm.quality import text_hash
 from trolley.llm.words import as_bytes, groups_of, words_of
 from trolley.operators.spread import spread_by
-from trolley.sources.scratch import staged
+from trolley.sources.scratch import replaced, staged
 
 SEED = 42
 #: Similarity from which two texts are near copies, as a fraction.
@@ -32,6 +38,9 @@ STARS = 3
 SHINGLES_AT_ONCE = 1 << 15
 TEXT_AT_ONCE = 1 << 22
 TABLE_BITS = 24
+#: Bits of a fingerprint, and pairs compared at a time.
+PRINT_BITS = 512
+PAIRS_AT_ONCE = 1 << 14
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -53,6 +62,45 @@ def node_of(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(own.tobytes(), SEED), np.uint64).view(np.int64))
 
 
+def fingerprint(own: np.ndarray) -> bytes:
+    """The parity of the shingles at each of PRINT_BITS places, packed."""
+    times = np.bincount((own >> np.uint64(64 - (PRINT_BITS - 1).bit_length())).astype(np.int64), minlength=PRINT_BITS)
+    return np.packbits(times.astype(np.uint8) & 1).tobytes()
+
+
+def within(differ: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Whether each row of `differ` (packed bits, one pair a row) has no more than its radius of set bits."""
+    n = len(differ)
+    words = -(-n // 64)
+
+    def sliced(bits: np.ndarray) -> np.ndarray:
+        """One word a plane and 64 rows."""
+        flat = np.packbits(bits.T, axis=1, bitorder="little")
+        out = np.zeros((len(flat), 8 * words), np.uint8)
+        out[:, : flat.shape[1]] = flat
+        return out.view("<u8")
+
+    planes = sliced(np.unpackbits(differ, axis=1))
+    digits = PRINT_BITS.bit_length()
+    start = (1 << digits) - 1 - np.minimum(radius, PRINT_BITS).astype(np.int64)
+    count = list(sliced(start[:, None] >> np.arange(digits) & 1 == 1))
+    alive, rows = np.full(words, ~np.uint64(0), "<u8"), np.arange(words)
+    result = np.zeros(words, "<u8")
+    for k, plane in enumerate(planes):
+        carry = plane[rows]
+        for d in range(digits):
+            carry, count[d] = carry & count[d], carry ^ count[d]
+        alive = alive & ~carry
+        if k % 32 == 31:
+            kept = alive != 0
+            if not kept.all():
+                rows, alive, count = rows[kept], alive[kept], [c[kept] for c in count]
+                if not len(rows):
+                    break
+    result[rows] = alive
+    return np.unpackbits(result.view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
 def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
     """The first n - ceil(t n) + 1 shingles: those not in `common` (ascending) first, then by `times`, then by hash."""
     n = len(own)
@@ -77,18 +125,18 @@ def _sets(docs: DataFrame, width: int, make, schema: str, *keep: str) -> DataFra
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, _hash, node, n) of every row: the node of its shingle set and the set's size."""
+    """(doc_id, _hash, node, n, print) of every row: the node of its shingle set, the set's size and fingerprint."""
 
     def make():
         def step(batch: pa.RecordBatch, width: int) -> list[pa.Array]:
             own = [shingles(t, width) for t in batch.column("text").to_pylist()]
             found = [pa.array([f(s) for s in own], pa.int64()) for f in (node_of, len)]
-            return [batch.column("doc_id"), batch.column("_hash"), *found]
+            return [batch.column("doc_id"), batch.column("_hash"), *found, pa.array(map(fingerprint, own), pa.binary())]
 
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _sets(docs, width, make, f"doc_id {kind}, _hash bigint, node bigint, n bigint", "doc_id")
+    return _sets(docs, width, make, f"doc_id {kind}, _hash bigint, node bigint, n bigint, print binary", "doc_id")
 
 
 def _wanted(docs: DataFrame, width: int, rows: DataFrame) -> DataFrame:
@@ -138,29 +186,32 @@ def common_shingles(docs: DataFrame, width: int, rows: DataFrame) -> tuple[np.nd
 
 
 def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(key, node) of every prefix shingle that two nodes or more have in their prefixes."""
+    """(key, node, n) of every prefix shingle that two nodes or more have in their prefixes; n is the node's size."""
     shared = docs.sparkSession.sparkContext.broadcast((common, times))  # at most SAMPLE / COMMON texts
 
     def make():
         seen: set[int] = set()
 
         def step(batch: pa.RecordBatch, width: int) -> list[pa.Array]:
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width)
                 if (node := node_of(own)) not in seen:  # copies met by one task are one row
                     seen.add(node)
                     nodes.append(node)
+                    sizes.append(len(own))
                     keys.append(prefix(own, *shared.value).view(np.int64))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            return [pa.array(flat), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))]
+            times = [len(k) for k in keys]
+            return [pa.array(flat), *(pa.array(np.repeat(np.array(c, np.int64), times)) for c in (nodes, sizes))]
 
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = np.empty((0, 2), np.int64), False  # the row held back, and whether its key came before it
+        names = ["key", "node", "n"]
+        last, before = np.empty((0, 3), np.int64), False  # the row held back, and whether its key came before it
         for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node")]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             rows = np.concatenate([last, np.column_stack(own)])
             rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
             same = rows[1:, 0] == rows[:-1, 0]
@@ -168,17 +219,38 @@ def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray)
             before = bool(same[-1]) if len(same) else before
             last = rows[-1:]
             kept[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(rows[kept, c]) for c in (0, 1)], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[kept, c]) for c in range(3)], names=names)
         if before:
-            yield pa.RecordBatch.from_arrays([pa.array(last[:, c]) for c in (0, 1)], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(last[:, c]) for c in range(3)], names=names)
+
+    schema = "key bigint, node bigint, n bigint"
+    return spread_by(_sets(docs, width, make, schema), "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The (u, v) rows whose fingerprints lie within the radius that similar sets of their sizes can have."""
+    up, down = SIMILAR
+    a, b = (prints.select(F.col("node").alias(e), F.col("n").alias(f"_n{e}"), F.col("print").alias(f"_{e}")) for e in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                batch = whole.slice(at, PAIRS_AT_ONCE)
+                sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("_u", "_v")]
+                differ = (sides[0] ^ sides[1]).reshape(batch.num_rows, PRINT_BITS // 8)
+                sizes = sum(batch.column(c).to_numpy() for c in ("_nu", "_nv"))
+                kept = pa.array(within(differ, sizes * (down - up) // (down + up)))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "uv"], names=["u", "v"])
 
-    rows = _sets(docs, width, make, "key bigint, node bigint")
-    return spread_by(rows, "key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint")
+    return pairs.join(a, "u").join(b, "v").mapInArrow(run, "u bigint, v bigint")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) rows whose sets reach the similarity."""
+def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The (u, v) rows whose sets reach the similarity; the sets of these nodes are made from the texts again."""
     up, down = SIMILAR
+    nodes = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
+    sets = _wanted(docs, width, rows.join(nodes, "node", "left_semi").select("_hash"))
+    sets = staged(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     a, b = (sets.select(F.col("node").alias(e), F.col("own").alias(f"_{e}")) for e in "uv")
     both = F.size(F.array_intersect("_u", "_v"))
     whole = F.size("_u") + F.size("_v") - both
@@ -197,29 +269,32 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     texts without words are alike. `_hash` tells apart rows that repeat a doc_id, null ids included.
     """
     rows = staged(marks(docs, width), "marks")
-    met = staged(meetings(docs, width, *common_shingles(docs, width, rows)), "meetings")
-    nodes = rows.join(met.select("node").distinct(), "node")
-    sets = _wanted(docs, width, nodes.select("_hash")).join(met.select("node").distinct(), "node", "left_semi")
-    sets = staged(sets.dropDuplicates(["node"]), "sets")
-    met = staged(met.join(sets.select("node", F.size("own").alias("n")), "node"), "met")
+    prints = staged(rows.select("node", "n", "print").dropDuplicates(["node"]), "prints")
+    met, path = replaced(None, meetings(docs, width, *common_shingles(docs, width, rows)), "meetings")
+    met, path = replaced(path, met.withColumn("root", F.col("node")), "meetings")
     links = met.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    rooted = met.withColumn("root", F.col("node"))
     for _ in range(STARS):
-        reps = rooted.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("own"))
+        reps = met.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("own"))
         centre = reps.groupBy("key").agg(F.min(F.struct("root", "own")).alias("_c"), F.count("*").alias("_n"))
         pairs = reps.join(centre.filter("_n > 1"), "key").filter("root <> _c.root").filter(_fits("own.n", "_c.own.n"))
         pairs = pairs.select(F.col("own.node").alias("u"), F.col("_c.own.node").alias("v")).distinct()
-        found = staged(_alike(pairs, sets), "stars")
+        # One centre a node is enough for a round; what it leaves apart is met again.
+        near = staged(_near(pairs, prints).groupBy("u").agg(F.min("v").alias("v")), "near")
+        found = staged(_alike(near, rows, docs, width), "stars")
         if found.isEmpty():
             break
         links = links.union(found)
         roots = staged(components(links), "roots")
-        rooted = staged(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-    left = staged(rooted.join(apart, "key", "left_semi"), "apart")
-    other = left.select("key", F.col("node").alias("v"), F.col("root").alias("_r"), F.col("n").alias("_n"))
-    pairs = left.withColumnRenamed("node", "u").join(other, "key").filter("u < v AND root <> _r").filter(_fits("n", "_n"))
-    roots = components(links.union(staged(_alike(pairs.select("u", "v").distinct(), sets), "links")))
+        rooted = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = rooted.select("key", "node", "n", "root")
+        # Only keys whose nodes are still apart are looked at again.
+        rooted = staged(rooted, "rooted")
+        apart = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart")
+        met, path = replaced(path, rooted.join(apart, "key", "left_semi"), "meetings")
+    other = met.select("key", F.col("node").alias("v"), F.col("root").alias("_r"), F.col("n").alias("_n"))
+    pairs = met.withColumnRenamed("node", "u").join(other, "key").filter("u < v AND root <> _r").filter(_fits("n", "_n"))
+    near = staged(_near(pairs.select("u", "v").distinct(), prints), "near")
+    roots = components(links.union(staged(_alike(near, rows, docs, width), "links")))
     named = rows.join(roots, "node", "left")
     return named.select("doc_id", "_hash", F.coalesce("root", "node").alias("root"))
 
