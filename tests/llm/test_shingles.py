@@ -97,7 +97,7 @@ def test_bit_sliced_radius_is_exact_and_loses_no_similar_sets():
     np = shingles.np
     rng = np.random.default_rng(5)
     for n in (1, 63, 64, 200):
-        differ = np.packbits(rng.random((n, shingles.PRINT_BITS)) < rng.random((n, 1)), axis=1)
+        differ = np.packbits(rng.random((n, 512)) < rng.random((n, 1)), axis=1)
         radius = rng.integers(0, 700, n)
         want = np.unpackbits(differ, axis=1).sum(axis=1) <= radius
         assert (shingles.within(differ, radius) == want).all()
@@ -107,5 +107,15 @@ def test_bit_sliced_radius_is_exact_and_loses_no_similar_sets():
             a, b = np.unique(base[:size]), np.unique(base[size - common : 2 * size - common])
             overlap = len(np.intersect1d(a, b))
             if 5 * overlap >= 4 * (len(a) + len(b) - overlap):
-                x = np.frombuffer(shingles.fingerprint(a), np.uint8) ^ np.frombuffer(shingles.fingerprint(b), np.uint8)
-                assert shingles.within(x[None, :], np.array([(len(a) + len(b)) // 9])).all()
+                assert shingles.close([shingles.fingerprint(a)], [shingles.fingerprint(b)], np.array([len(a) + len(b)])).all()
+    far = [shingles.fingerprint(np.unique(rng.integers(0, 2**64, 900, np.uint64))) for _ in range(40)]
+    assert not shingles.close(far[:20], far[20:], np.full(20, 1800)).any()
+
+
+def test_prints_of_neighbouring_sizes_are_folded():
+    np = shingles.np
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 2**64, 140, np.uint64)
+    a, b = np.unique(base[:120]), np.unique(base[:140])
+    x, y = shingles.fingerprint(a), shingles.fingerprint(b)
+    assert len(x) != len(y) and shingles.close([x], [y], np.array([260])).all()

@@ -6,11 +6,12 @@ true; shingles that are common in a sample of the texts come last, which keeps f
 prefixes. Texts with equal sets are one node, and stars inside the keys join most of a large group before the pairs still
 apart are listed, so a group of near copies is not all its pairs.
 
-Candidates are first compared by fingerprints. Every shingle of a set flips one of PRINT_BITS bits, so two fingerprints
-differ in no more bits than the sets differ in shingles, which for similar sets is (1 - t) / (1 + t) of both sizes at
-most: this radius loses no pair. The comparison is bit-sliced: the differing bits of 64 pairs are one word a bit plane,
-carry-save counters add the planes up, each pair from its own start so that it overflows beyond its own radius, and words
-whose 64 pairs have all overflowed are abandoned. What is left is verified on the whole sets, which travel for these only.
+Candidates are first compared by fingerprints. Every shingle of a set flips one bit, so two fingerprints (the longer
+one folded to the length of the other) differ in no more bits than the sets differ in shingles, which for similar sets is
+(1 - t) / (1 + t) of both sizes at most: this radius loses no pair. The comparison is bit-sliced: the differing bits of 64
+pairs are one word a bit plane, carry-save counters add the planes up, each pair from its own start so that it overflows
+beyond its own radius, and words whose 64 pairs have all overflowed are abandoned. What is left is verified on the whole
+sets, which travel for these only.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ SEED = 42
 SIMILAR = (4, 5)
 #: About so many nodes are looked at to tell common shingles; those in COMMON of them or more count as common.
 SAMPLE, COMMON = 20_000, 3
-#: Rounds of stars before the remaining pairs are listed.
+#: Rounds of stars at most before the remaining pairs are listed.
 STARS = 3
 SHINGLES_AT_ONCE = 1 << 15
 TEXT_AT_ONCE = 1 << 22
 TABLE_BITS = 24
-#: Bits of a fingerprint, and pairs compared at a time.
-PRINT_BITS = 512
-PAIRS_AT_ONCE = 1 << 14
+#: A fingerprint has PRINT_SHARE bits a shingle or more, a power of two between these; so many bits are compared at a time.
+PRINT_SHARE, LEAST_BITS, MOST_BITS = 4, 256, 1 << 16
+BITS_AT_ONCE = 1 << 23
+#: Pairs a row of the meetings from which another round of stars comes before listing them.
+LISTED = 8
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -63,11 +66,40 @@ def node_of(own: np.ndarray) -> int:
 
 
 def fingerprint(own: np.ndarray) -> bytes:
-    """The parity of the shingles at each of PRINT_BITS places, packed."""
-    times = np.bincount((own >> np.uint64(64 - (PRINT_BITS - 1).bit_length())).astype(np.int64), minlength=PRINT_BITS)
+    """The parity of the shingles at each place (the first bits of the hash), packed."""
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (PRINT_SHARE * len(own)).bit_length()))
+    times = np.bincount((own >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
     return np.packbits(times.astype(np.uint8) & 1).tobytes()
 
 
+def _folded(prints: list[bytes], size: int) -> np.ndarray:
+    """The fingerprints at a length of `size` bytes, neighbouring bits of longer ones combined."""
+    out = np.empty((len(prints), size), np.uint8)
+    for i, p in enumerate(prints):
+        bits = np.frombuffer(p, np.uint8)
+        while len(bits) > size:
+            pair = np.unpackbits(bits).reshape(-1, 2)
+            bits = np.packbits(pair[:, 0] ^ pair[:, 1])
+        out[i] = bits
+    return out
+
+
+def close(us: list[bytes], vs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Whether two fingerprints lie within the radius that similar sets, `sizes` shingles together, can have."""
+    up, down = SIMILAR
+    radius = sizes * (down - up) // (down + up)
+    length = np.minimum(*(np.fromiter(map(len, p), np.int64, len(p)) for p in (us, vs)))
+    out = np.zeros(len(us), bool)
+    for size in np.unique(length).tolist():
+        every = np.flatnonzero(length == size)
+        step = max(64, BITS_AT_ONCE // (8 * size))
+        for at in range(0, len(every), step):
+            rows = every[at : at + step]
+            a, b = (_folded([p[i] for i in rows], size) for p in (us, vs))
+            out[rows] = within(a ^ b, radius[rows])
+    return out
+
+
 def within(differ: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """Whether each row of `differ` (packed bits, one pair a row) has no more than its radius of set bits."""
     n = len(differ)
@@ -81,8 +113,8 @@ def within(differ: np.ndarray, radius: np.ndarray) -> np.ndarray:
         return out.view("<u8")
 
     planes = sliced(np.unpackbits(differ, axis=1))
-    digits = PRINT_BITS.bit_length()
-    start = (1 << digits) - 1 - np.minimum(radius, PRINT_BITS).astype(np.int64)
+    digits = len(planes).bit_length()
+    start = (1 << digits) - 1 - np.minimum(radius, len(planes)).astype(np.int64)
     count = list(sliced(start[:, None] >> np.arange(digits) & 1 == 1))
     alive, rows = np.full(words, ~np.uint64(0), "<u8"), np.arange(words)
     result = np.zeros(words, "<u8")
@@ -186,7 +218,10 @@ def common_shingles(docs: DataFrame, width: int, rows: DataFrame) -> tuple[np.nd
 
 
 def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(key, node, n) of every prefix shingle that two nodes or more have in their prefixes; n is the node's size."""
+    """(key, node, n, centre, n_centre) of every prefix shingle that two nodes or more have in their prefixes.
+
+    n is the node's size, centre the smallest node of the key.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((common, times))  # at most SAMPLE / COMMON texts
 
     def make():
@@ -208,39 +243,44 @@ def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray)
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "n"]
+        names = ["key", "node", "n", "centre", "n_centre"]
         last, before = np.empty((0, 3), np.int64), False  # the row held back, and whether its key came before it
+        centre = np.zeros(2, np.int64)  # of the key that the row held back belongs to
         for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names[:3]]
             rows = np.concatenate([last, np.column_stack(own)])
+            if not len(rows):
+                continue
             rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
             same = rows[1:, 0] == rows[:-1, 0]
+            start = np.maximum.accumulate(np.where(np.r_[False, same], 0, np.arange(len(rows))))
+            centres = rows[start, 1:]
+            if len(last):  # the first key may have begun in an earlier batch
+                centres[start == 0] = centre
+            centre = centres[-1]
             kept = np.r_[before, same] | np.r_[same, False]
             before = bool(same[-1]) if len(same) else before
             last = rows[-1:]
             kept[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(rows[kept, c]) for c in range(3)], names=names)
+            found = np.column_stack([rows, centres])[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(5)], names=names)
         if before:
-            yield pa.RecordBatch.from_arrays([pa.array(last[:, c]) for c in range(3)], names=names)
+            found = np.column_stack([last, centre[None, :]])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(5)], names=names)
 
-    schema = "key bigint, node bigint, n bigint"
-    return spread_by(_sets(docs, width, make, schema), "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+    sent = spread_by(_sets(docs, width, make, "key bigint, node bigint, n bigint"), "key").sortWithinPartitions("key", "node")
+    return sent.mapInArrow(run, "key bigint, node bigint, n bigint, centre bigint, n_centre bigint")
 
 
 def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The (u, v) rows whose fingerprints lie within the radius that similar sets of their sizes can have."""
-    up, down = SIMILAR
     a, b = (prints.select(F.col("node").alias(e), F.col("n").alias(f"_n{e}"), F.col("print").alias(f"_{e}")) for e in "uv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
-                batch = whole.slice(at, PAIRS_AT_ONCE)
-                sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("_u", "_v")]
-                differ = (sides[0] ^ sides[1]).reshape(batch.num_rows, PRINT_BITS // 8)
-                sizes = sum(batch.column(c).to_numpy() for c in ("_nu", "_nv"))
-                kept = pa.array(within(differ, sizes * (down - up) // (down + up)))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "uv"], names=["u", "v"])
+        for batch in batches:
+            sizes = sum(batch.column(c).to_numpy() for c in ("_nu", "_nv"))
+            kept = pa.array(close(batch.column("_u").to_pylist(), batch.column("_v").to_pylist(), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "uv"], names=["u", "v"])
 
     return pairs.join(a, "u").join(b, "v").mapInArrow(run, "u bigint, v bigint")
 
@@ -250,7 +290,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int) -> Da
     up, down = SIMILAR
     nodes = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
     sets = _wanted(docs, width, rows.join(nodes, "node", "left_semi").select("_hash"))
-    sets = staged(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     a, b = (sets.select(F.col("node").alias(e), F.col("own").alias(f"_{e}")) for e in "uv")
     both = F.size(F.array_intersect("_u", "_v"))
     whole = F.size("_u") + F.size("_v") - both
@@ -271,26 +311,32 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = staged(marks(docs, width), "marks")
     prints = staged(rows.select("node", "n", "print").dropDuplicates(["node"]), "prints")
     met, path = replaced(None, meetings(docs, width, *common_shingles(docs, width, rows)), "meetings")
-    met, path = replaced(path, met.withColumn("root", F.col("node")), "meetings")
     links = met.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    for _ in range(STARS):
-        reps = met.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("own"))
-        centre = reps.groupBy("key").agg(F.min(F.struct("root", "own")).alias("_c"), F.count("*").alias("_n"))
-        pairs = reps.join(centre.filter("_n > 1"), "key").filter("root <> _c.root").filter(_fits("own.n", "_c.own.n"))
-        pairs = pairs.select(F.col("own.node").alias("u"), F.col("_c.own.node").alias("v")).distinct()
+    # The first centre of a key, its smallest node, comes with the meetings.
+    pairs = met.filter("node <> centre").filter(_fits("n", "n_centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    met = met.select("key", "node", "n", F.col("node").alias("root"))
+    for turn in range(STARS):
+        if turn:
+            reps = met.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("own"))
+            centre = reps.groupBy("key").agg(F.min(F.struct("root", "own")).alias("_c"), F.count("*").alias("_n"))
+            pairs = reps.join(centre.filter("_n > 1"), "key").filter("root <> _c.root").filter(_fits("own.n", "_c.own.n"))
+            pairs = pairs.select(F.col("own.node").alias("u"), F.col("_c.own.node").alias("v"))
         # One centre a node is enough for a round; what it leaves apart is met again.
-        near = staged(_near(pairs, prints).groupBy("u").agg(F.min("v").alias("v")), "near")
+        near = staged(_near(pairs.distinct(), prints).groupBy("u").agg(F.min("v").alias("v")), "near")
         found = staged(_alike(near, rows, docs, width), "stars")
         if found.isEmpty():
             break
         links = links.union(found)
         roots = staged(components(links), "roots")
         rooted = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = rooted.select("key", "node", "n", "root")
         # Only keys whose nodes are still apart are looked at again.
-        rooted = staged(rooted, "rooted")
-        apart = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart")
-        met, path = replaced(path, rooted.join(apart, "key", "left_semi"), "meetings")
+        rooted = staged(rooted.select("key", "node", "n", "root"), "rooted")
+        apart = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart"), F.count("*").alias("_n"))
+        apart = staged(apart.filter("apart").select("key", "_n"), "apart")
+        met, path = replaced(path, rooted.join(apart.select("key"), "key", "left_semi"), "meetings")
+        left = apart.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_n") * (F.col("_n") - 1) / 2), F.lit(0))).first()
+        if left[1] <= LISTED * left[0]:
+            break
     other = met.select("key", F.col("node").alias("v"), F.col("root").alias("_r"), F.col("n").alias("_n"))
     pairs = met.withColumnRenamed("node", "u").join(other, "key").filter("u < v AND root <> _r").filter(_fits("n", "_n"))
     near = staged(_near(pairs.select("u", "v").distinct(), prints), "near")
