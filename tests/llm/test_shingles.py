@@ -119,3 +119,34 @@ def test_prints_of_neighbouring_sizes_are_folded():
     a, b = np.unique(base[:120]), np.unique(base[:140])
     x, y = shingles.fingerprint(a), shingles.fingerprint(b)
     assert len(x) != len(y) and shingles.close([x], [y], np.array([260])).all()
+
+
+def test_cells_give_all_similar_pairs_and_hot_keys_are_cut():
+    np = shingles.np
+    draw = random.Random(9)
+    sets, none = [], (np.array([], np.uint64), np.array([], int))
+    for _ in range(30):
+        base = draw.sample(range(2**60), 60)
+        sets += [np.unique(np.array(base[k:] + draw.sample(range(2**60), k), np.uint64)) for k in (0, 3, 6, 9)]
+    meet = sorted((int(k), i, p) for i, s in enumerate(sets) for p, k in enumerate(shingles.prefix(s, *none).tolist()))
+    cell, node = np.array([m[0] for m in meet], np.uint64), np.array([m[1] for m in meet])
+    rows = np.column_stack([[len(sets[i]) for i in node], [m[2] for m in meet], node])
+    shorts = np.stack([np.frombuffer(shingles.fingerprint(s, shingles.SHORT_BITS), np.uint8) for s in sets])
+    a, b = shingles.near_in_cells(cell, rows, shorts[node])
+    got = {tuple(sorted(p)) for p in zip(node[a].tolist(), node[b].tolist())}
+    want = {
+        (i, j) for j in range(len(sets)) for i in range(j)
+        if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    }
+    assert want <= got and len(want) > 40
+
+
+def test_one_family_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "MOST_IN_CELL", 6)
+    monkeypatch.setattr(shingles, "STARS", 1)
+    rows = families(25)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for r in shingles.near_copies(docs, 5).collect():
+        got.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(rows[i][0] for i in g) for g in groups(rows, 5))

@@ -3,8 +3,10 @@
 Prefix filtering: under one order of all shingles, two sets of similarity t or more share a shingle among the
 first n - ceil(t n) + 1 of each, so sets that meet under no such key need no comparison. Any order keeps this
 true; shingles that are common in a sample of the texts come last, which keeps frequent passages out of the
-prefixes. Texts with equal sets are one node, and stars inside the keys join most of a large group before the pairs still
-apart are listed, so a group of near copies is not all its pairs.
+prefixes. Texts with equal sets are one node, and stars inside the keys, around another centre each round, join a large
+group before the pairs still apart are looked for, so a group of near copies is not all its pairs. These pairs are compared
+where their key's nodes lie side by side (hot keys in chunks), and only near ones become rows. The first shingle that two
+sets share stands at a place with enough of both sets behind it, which leaves most frequent keys without a pair.
 
 Candidates are first compared by fingerprints. Every shingle of a set flips one bit, so two fingerprints (the longer
 one folded to the length of the other) differ in no more bits than the sets differ in shingles, which for similar sets is
@@ -34,16 +36,18 @@ SEED = 42
 SIMILAR = (4, 5)
 #: About so many nodes are looked at to tell common shingles; those in COMMON of them or more count as common.
 SAMPLE, COMMON = 20_000, 3
-#: Rounds of stars at most before the remaining pairs are listed.
-STARS = 3
+#: Rounds of stars at most before the remaining pairs are compared; a round that adds less than one link in WORTH is the last.
+STARS, WORTH = 5, 50
 SHINGLES_AT_ONCE = 1 << 15
 TEXT_AT_ONCE = 1 << 22
 TABLE_BITS = 24
 #: A fingerprint has PRINT_SHARE bits a shingle or more, a power of two between these; so many bits are compared at a time.
 PRINT_SHARE, LEAST_BITS, MOST_BITS = 4, 256, 1 << 16
 BITS_AT_ONCE = 1 << 23
-#: Pairs a row of the meetings from which another round of stars comes before listing them.
-LISTED = 8
+#: Bits of the fingerprints that travel with the meetings, nodes of a key compared in one piece, rows taken at a time.
+SHORT_BITS = 1024
+MOST_IN_CELL = 2048
+ROWS_AT_ONCE = 1 << 16
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -65,9 +69,9 @@ def node_of(own: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(own.tobytes(), SEED), np.uint64).view(np.int64))
 
 
-def fingerprint(own: np.ndarray) -> bytes:
+def fingerprint(own: np.ndarray, bits: int | None = None) -> bytes:
     """The parity of the shingles at each place (the first bits of the hash), packed."""
-    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (PRINT_SHARE * len(own)).bit_length()))
+    bits = bits or max(LEAST_BITS, min(MOST_BITS, 1 << (PRINT_SHARE * len(own)).bit_length()))
     times = np.bincount((own >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
     return np.packbits(times.astype(np.uint8) & 1).tobytes()
 
@@ -84,10 +88,15 @@ def _folded(prints: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def _radius(sizes: np.ndarray) -> np.ndarray:
+    """Most shingles in which similar sets of `sizes` shingles together differ."""
+    up, down = SIMILAR
+    return sizes * (down - up) // (down + up)
+
+
 def close(us: list[bytes], vs: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """Whether two fingerprints lie within the radius that similar sets, `sizes` shingles together, can have."""
-    up, down = SIMILAR
-    radius = sizes * (down - up) // (down + up)
+    radius = _radius(sizes)
     length = np.minimum(*(np.fromiter(map(len, p), np.int64, len(p)) for p in (us, vs)))
     out = np.zeros(len(us), bool)
     for size in np.unique(length).tolist():
@@ -157,18 +166,19 @@ def _sets(docs: DataFrame, width: int, make, schema: str, *keep: str) -> DataFra
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, _hash, node, n, print) of every row: the node of its shingle set, the set's size and fingerprint."""
+    """(doc_id, _hash, node, n, print, short) of every row: the node of its shingle set, the set's size, fingerprints."""
 
     def make():
         def step(batch: pa.RecordBatch, width: int) -> list[pa.Array]:
             own = [shingles(t, width) for t in batch.column("text").to_pylist()]
             found = [pa.array([f(s) for s in own], pa.int64()) for f in (node_of, len)]
-            return [batch.column("doc_id"), batch.column("_hash"), *found, pa.array(map(fingerprint, own), pa.binary())]
+            prints = [[fingerprint(s, bits) for s in own] for bits in (None, SHORT_BITS)]
+            return [batch.column("doc_id"), batch.column("_hash"), *found, *(pa.array(p, pa.binary()) for p in prints)]
 
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _sets(docs, width, make, f"doc_id {kind}, _hash bigint, node bigint, n bigint, print binary", "doc_id")
+    return _sets(docs, width, make, f"doc_id {kind}, _hash bigint, node bigint, n bigint, print binary, short binary", "doc_id")
 
 
 def _wanted(docs: DataFrame, width: int, rows: DataFrame) -> DataFrame:
@@ -218,9 +228,9 @@ def common_shingles(docs: DataFrame, width: int, rows: DataFrame) -> tuple[np.nd
 
 
 def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(key, node, n, centre, n_centre) of every prefix shingle that two nodes or more have in their prefixes.
+    """(key, node, n, place, centre, n_centre) of every prefix shingle that two nodes or more have in their prefixes.
 
-    n is the node's size, centre the smallest node of the key.
+    n is the node's size, place the shingle's in the order of its set, centre the smallest node of the key.
     """
     shared = docs.sparkSession.sparkContext.broadcast((common, times))  # at most SAMPLE / COMMON texts
 
@@ -238,23 +248,25 @@ def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray)
                     keys.append(prefix(own, *shared.value).view(np.int64))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             times = [len(k) for k in keys]
-            return [pa.array(flat), *(pa.array(np.repeat(np.array(c, np.int64), times)) for c in (nodes, sizes))]
+            places = np.concatenate([np.arange(n) for n in times]) if times else flat
+            repeated = [np.repeat(np.array(c, np.int64), times) for c in (nodes, sizes)]
+            return [pa.array(flat), *map(pa.array, repeated), pa.array(places)]
 
         return step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "n", "centre", "n_centre"]
-        last, before = np.empty((0, 3), np.int64), False  # the row held back, and whether its key came before it
+        names = ["key", "node", "n", "place", "centre", "n_centre"]
+        last, before = np.empty((0, 4), np.int64), False  # the row held back, and whether its key came before it
         centre = np.zeros(2, np.int64)  # of the key that the row held back belongs to
         for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names[:3]]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4]]
             rows = np.concatenate([last, np.column_stack(own)])
             if not len(rows):
                 continue
             rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
             same = rows[1:, 0] == rows[:-1, 0]
             start = np.maximum.accumulate(np.where(np.r_[False, same], 0, np.arange(len(rows))))
-            centres = rows[start, 1:]
+            centres = rows[start, 1:3]
             if len(last):  # the first key may have begun in an earlier batch
                 centres[start == 0] = centre
             centre = centres[-1]
@@ -263,13 +275,14 @@ def meetings(docs: DataFrame, width: int, common: np.ndarray, times: np.ndarray)
             last = rows[-1:]
             kept[-1] = False
             found = np.column_stack([rows, centres])[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(5)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(6)], names=names)
         if before:
             found = np.column_stack([last, centre[None, :]])
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(5)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(6)], names=names)
 
-    sent = spread_by(_sets(docs, width, make, "key bigint, node bigint, n bigint"), "key").sortWithinPartitions("key", "node")
-    return sent.mapInArrow(run, "key bigint, node bigint, n bigint, centre bigint, n_centre bigint")
+    schema = "key bigint, node bigint, n bigint, place bigint"
+    sent = spread_by(_sets(docs, width, make, schema), "key").sortWithinPartitions("key", "node")
+    return sent.mapInArrow(run, f"{schema}, centre bigint, n_centre bigint")
 
 
 def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -302,6 +315,65 @@ def _fits(a: str, b: str):
     return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
 
 
+def _first_common(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the key can be the first shingle that similar sets share; rows hold n, place and root."""
+    up, down = SIMILAR
+    need = up * (rows[left, 0] + rows[right, 0])
+    enough = [(rows[i, 0] - rows[i, 1]) * (up + down) >= need for i in (left, right)]
+    return enough[0] & enough[1] & (rows[left, 2] != rows[right, 2])
+
+
+def near_in_cells(cell: np.ndarray, rows: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of one cell that may be alike; `cell` ascends, rows hold n, place and root."""
+    n = len(cell)
+    edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+    after = np.repeat(edge[1:], np.diff(edge)) - 1 - np.arange(n)  # rows of the cell behind each row
+    found, left = [np.empty((0, 2), np.int64)], np.arange(n)
+    for shift in range(1, int(after.max(initial=0)) + 1):
+        left = left[after[left] >= shift]
+        pair = left[_first_common(rows, left, left + shift)]
+        for at in range(0, len(pair), BITS_AT_ONCE // SHORT_BITS):
+            a = pair[at : at + BITS_AT_ONCE // SHORT_BITS]
+            near = within(prints[a] ^ prints[a + shift], _radius(rows[a, 0] + rows[a + shift, 0]))
+            found.append(np.column_stack([a[near], a[near] + shift]))
+    return tuple(np.concatenate(found).T)
+
+
+def _listed(met: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v) of the nodes with different roots that meet under a key and may be alike by their short fingerprints."""
+    hot = met.groupBy("key").count().filter(F.col("count") > MOST_IN_CELL)
+    hot = hot.select("key", F.ceil(F.col("count") / (MOST_IN_CELL // 2)).cast("int").alias("chunks"))
+    rows = met.join(hot, "key", "left").join(prints.select("node", "short"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    # An uncut key is one cell; chunk c of a cut one takes part in the cells {c, any other}.
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.xxhash64("key", F.least(x, own), F.greatest(x, own)))
+    cells = F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pair)
+    dealt = rows.select(F.explode(cells).alias("cell"), "node", "n", "place", "root", "short")
+    dealt = spread_by(dealt, "cell").sortWithinPartitions("cell")
+
+    def pairs(table: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        a, b = near_in_cells(table[:, 0], table[:, 2:], prints)
+        ends = np.sort(np.column_stack([table[a, 1], table[b, 1]]), axis=1)
+        ends = np.unique(ends, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, i]) for i in (0, 1)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cell", "node", "n", "place", "root"]
+        table, shorts = np.empty((0, 5), np.int64), np.empty((0, SHORT_BITS // 8), np.uint8)
+        for batch in batches:
+            own = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            table = np.concatenate([table, own])
+            print_rows = np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint8).reshape(-1, SHORT_BITS // 8)
+            shorts = np.concatenate([shorts, print_rows])
+            if len(table) >= ROWS_AT_ONCE:
+                cut = int(np.searchsorted(table[:, 0], table[-1, 0]))  # the last cell may go on
+                yield pairs(table[:cut], shorts[:cut])
+                table, shorts = table[cut:], shorts[cut:]
+        yield pairs(table, shorts)
+
+    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
 def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, _hash, root) for every row: rows have one root where a chain of links joins them.
 
@@ -309,37 +381,35 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     texts without words are alike. `_hash` tells apart rows that repeat a doc_id, null ids included.
     """
     rows = staged(marks(docs, width), "marks")
-    prints = staged(rows.select("node", "n", "print").dropDuplicates(["node"]), "prints")
+    prints = staged(rows.select("node", "n", "print", "short").dropDuplicates(["node"]), "prints")
     met, path = replaced(None, meetings(docs, width, *common_shingles(docs, width, rows)), "meetings")
     links = met.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     # The first centre of a key, its smallest node, comes with the meetings.
     pairs = met.filter("node <> centre").filter(_fits("n", "n_centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    met = met.select("key", "node", "n", F.col("node").alias("root"))
-    for turn in range(STARS):
-        if turn:
-            reps = met.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("own"))
-            centre = reps.groupBy("key").agg(F.min(F.struct("root", "own")).alias("_c"), F.count("*").alias("_n"))
-            pairs = reps.join(centre.filter("_n > 1"), "key").filter("root <> _c.root").filter(_fits("own.n", "_c.own.n"))
-            pairs = pairs.select(F.col("own.node").alias("u"), F.col("_c.own.node").alias("v"))
+    met = met.select("key", "node", "n", "place", F.col("node").alias("root"))
+    for turn in range(1, STARS + 1):
         # One centre a node is enough for a round; what it leaves apart is met again.
         near = staged(_near(pairs.distinct(), prints).groupBy("u").agg(F.min("v").alias("v")), "near")
         found = staged(_alike(near, rows, docs, width), "stars")
-        if found.isEmpty():
+        new = found.count()
+        if not new:
             break
         links = links.union(found)
         roots = staged(components(links), "roots")
         rooted = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Only keys whose nodes are still apart are looked at again.
-        rooted = staged(rooted.select("key", "node", "n", "root"), "rooted")
-        apart = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart"), F.count("*").alias("_n"))
-        apart = staged(apart.filter("apart").select("key", "_n"), "apart")
-        met, path = replaced(path, rooted.join(apart.select("key"), "key", "left_semi"), "meetings")
-        left = apart.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_n") * (F.col("_n") - 1) / 2), F.lit(0))).first()
-        if left[1] <= LISTED * left[0]:
+        rooted = staged(rooted.select("key", "node", "n", "place", "root"), "rooted")
+        apart = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart")
+        met, path = replaced(path, rooted.join(apart, "key", "left_semi"), "meetings")
+        if new * WORTH < links.count():
             break
-    other = met.select("key", F.col("node").alias("v"), F.col("root").alias("_r"), F.col("n").alias("_n"))
-    pairs = met.withColumnRenamed("node", "u").join(other, "key").filter("u < v AND root <> _r").filter(_fits("n", "_n"))
-    near = staged(_near(pairs.select("u", "v").distinct(), prints), "near")
+        # Another centre each round, the same for all keys that two nodes share.
+        drawn = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n")
+        reps = met.groupBy("key", "root").agg(F.min(drawn).alias("own"))
+        centre = reps.groupBy("key").agg(F.min(F.struct("own", "root")).alias("_c"))
+        pairs = reps.join(centre, "key").filter("root <> _c.root").filter(_fits("own.n", "_c.own.n"))
+        pairs = pairs.select(F.col("own.node").alias("u"), F.col("_c.own.node").alias("v"))
+    near = staged(_near(_listed(met, prints), prints), "near")
     roots = components(links.union(staged(_alike(near, rows, docs, width), "links")))
     named = rows.join(roots, "node", "left")
     return named.select("doc_id", "_hash", F.coalesce("root", "node").alias("root"))
