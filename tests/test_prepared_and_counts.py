@@ -142,3 +142,12 @@ def test_points_within_a_distance(spark, reach, crowded):
     right = spark.createDataFrame([*spots, (None, 1.0)], "lat double, lng double")
     want = {i: sum(km(p, q) <= reach for q in spots) for i, p in enumerate(seekers)} | {-1: 0}
     assert {r.id: r.n_within for r in distance.within_distance(left, right, reach, crowded).collect()} == want
+
+
+def test_vocabulary_and_head(spark):
+    from trolley.operators.topk import head
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, None), (3, "b")], "x int, y string")
+    assert rows(ctr.vocabulary(df, ["x", "y"], {"day": 31}), "field", "size", "largest") == [("day", 31, 3), ("x", 3, 3), ("y", 2, 3)]
+    assert rows(ctr.vocabulary(df, ["y"]), "field", "size", "largest") == [("y", 2, 2)]
+    assert [r.x for r in head(df, [F.col("x").desc(), F.col("y").asc_nulls_last()], 2).collect()] == [3, 2]

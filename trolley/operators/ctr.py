@@ -17,8 +17,9 @@ from trolley.functions.draws import keep
 from trolley.operators.spread import ROWS_PER_RANGE, global_running_total, hot_key_join
 from trolley.sources.scratch import staged
 
-# The size classes of columns and the grid of inverse penalties.
+# The size classes of columns, the sizes of calendar fields and the grid of inverse penalties.
 FEW, MANY, HIGH = 20, 10_000, 100
+CALENDAR_SIZES = {"day": 31, "hour_of_day": 24, "weekday": 7}
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1, 3, 10)
 
 
@@ -64,6 +65,18 @@ def select_columns(df: DataFrame, columns: Sequence[str], above: int = 0, below:
     return [c for c in columns if c in found]
 
 
+def vocabulary(df: DataFrame, columns: Sequence[str], known: dict[str, int] | None = None) -> DataFrame:
+    """(field, size, largest): values of each field, one pass, and the most that any counted field has.
+
+    `known` gives sizes that do not depend on the data, such as the days of a month; these do not count for the largest.
+    """
+    counted = column_profile(df, columns).select(F.col("column").alias("field"), F.col("n_distinct").alias("size"))
+    most = counted.agg(F.max("size").alias("n")).scalar()
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).cast("bigint").alias("size")) for f, n in (known or {}).items()])
+    fixed = df.sparkSession.range(1).select(F.inline(rows)) if known else counted.limit(0)
+    return counted.unionByName(fixed).withColumn("largest", most)
+
+
 def label_codes(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Replace values by their place among the sorted distinct values of the fitted rows.
 

@@ -19,3 +19,8 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
 def by_score(score: str, *ids: str) -> list[Column]:
     """Descending score, compared at 9 decimals so that summation order cannot decide, then ids."""
     return [F.round(F.col(score), 9).desc(), *[F.col(i).asc() for i in ids]]
+
+
+def head(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of a table in a total order: each task keeps its own n, and only these are merged."""
+    return df.orderBy(*order).limit(n)

@@ -479,6 +479,7 @@ SELECT order_id, dow_idx, hod_idx, days_z, hist_len, unnest(basket) AS product_i
 SELECT order_id, vec_id, round(score, 6) AS score, round(prob, 6) AS prob, rank FROM best WHERE rank <= 10"""
     q["retriever_top_text"] = f"""WITH {FIXED_TOWER}
 SELECT order_id, vec_id AS product_id, round(round(score, 6), 3) AS score FROM best WHERE rank <= 10"""
+    q["eval_head"] = q["next_basket_eval"] + "\nORDER BY order_id, product_id LIMIT 1000"
     flags = [f"CAST((order_dow + 6) % 7 = {i} AS INT) AS dow_{i}" for i in range(7)]
     flags += [f"CAST(order_hour_of_day = {i} AS INT) AS hod_{i}" for i in range(24)]
     q["slot_one_hot"] = f"WITH {ORDERS} SELECT order_id, {', '.join(flags)} FROM ord"
@@ -495,6 +496,10 @@ SELECT name AS "column", n AS n_distinct, CAST(n > 1 AND n < 20 AS INT) AS keep_
     q["ctr_first_seen_encoded"] = f"""WITH {CLICKS},
 c AS (SELECT user_id, row_number() OVER (ORDER BY min(moment), user_id) - 1 AS code FROM log GROUP BY user_id)
 SELECT event_id, code FROM log JOIN c USING (user_id)"""
+    sizes = " UNION ALL ".join(f"SELECT '{c}' AS field, count(DISTINCT {c}) AS size FROM log" for c in FIELDS[:3])
+    q["ctr_vocabulary"] = f"""WITH {CLICKS}, s AS ({sizes}), m AS (SELECT max(size) AS largest FROM s)
+SELECT field, size, largest FROM s, m
+UNION ALL SELECT unnest(['day', 'hour_of_day', 'weekday']), unnest([31::BIGINT, 24, 7]), largest FROM m"""
     q["ctr_incremental_encoded"] = q["ctr_first_seen_encoded"]
     q["ctr_sketched_profile"] = f"""WITH {CLICKS}, p AS ({profile})
 SELECT name AS "column", n AS n_distinct, CAST(1 AS INT) AS within_bound FROM p"""

@@ -14,6 +14,7 @@ from trolley.operators import (
     sketches, skipgram, stats, vectors,
 )
 from trolley.operators.spread import hot_key_join
+from trolley.operators.topk import head
 from trolley.sources import prepared, tables, text, views
 from trolley.sources.scratch import scratch_path, scratch_table, staged
 
@@ -362,6 +363,12 @@ def prepared_train(spark: SparkSession, sf: str) -> DataFrame:
     return baskets.as_text(joined_rows, "hist_padded", "candidates", "labels")
 
 
+@query
+def eval_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 1,000 rows of the evaluation set, by order and item."""
+    return head(next_basket_eval(spark, sf), [F.col("order_id"), F.col("product_id")], 1000)
+
+
 @query
 def slot_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return features.slot_one_hot(views.orders(spark, sf))
@@ -496,6 +503,13 @@ def ctr_first_seen_encoded(spark: SparkSession, sf: str) -> DataFrame:
     return hot_key_join(log, ctr.first_seen_codes(log, "user_id", "at"), "user_id").select("event_id", "code")
 
 
+@query
+def ctr_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the fields' vocabularies and the largest."""
+    counted = [c for c in CTR_FIELDS if c not in ctr.CALENDAR_SIZES]
+    return ctr.vocabulary(views.clicks(spark, sf), counted, ctr.CALENDAR_SIZES)
+
+
 @query
 def ctr_incremental_encoded(spark: SparkSession, sf: str) -> DataFrame:
     """First-seen codes from a stored dictionary that three chunks of the log extend one after the other."""
