@@ -196,6 +196,19 @@ def fit_lr(
     return max(fitted, key=lambda model: judge.evaluate(model.transform(valid)))
 
 
+def weighted_scores(coded: DataFrame, fields: Sequence[str], weights: DataFrame, bias: float, *keep_columns: str) -> DataFrame:
+    """The kept columns and the probability of a logistic model given as a table (field, code, weight).
+
+    Fields have fewer than MANY codes, which bounds the tables that are broadcast; a code without a weight adds nothing.
+    """
+    logit = F.lit(float(bias))
+    for f in fields:
+        own = weights.filter(F.col("field") == f).select(F.col("code").alias(f), F.col("weight").alias(f"_w_{f}"))
+        coded = coded.join(F.broadcast(own), f, "left")
+        logit = logit + F.coalesce(f"_w_{f}", F.lit(0.0))
+    return coded.select(*keep_columns, (1 / (1 + F.exp(-logit))).alias("score"))
+
+
 def fit_fm(train: DataFrame, label: str = "click", factors: int = 8, iters: int = 20, seed: int = 0):
     """Factorisation machine: the pairwise half of the deep factorisation model."""
     return FMClassifier(labelCol=label, factorSize=factors, regParam=0.005, maxIter=iters, stepSize=0.05, seed=seed).fit(

@@ -491,6 +491,27 @@ SELECT event_id, year, month_b, day_b, hour_b, day, hour_of_day AS hour, weekday
 SELECT name AS "column", n AS n_distinct, CAST(n > 1 AND n < 20 AS INT) AS keep_small,
        CAST(n < 10000 AS INT) AS keep_medium, CASE WHEN n > 100 THEN 'high' ELSE 'low' END AS size_class FROM p"""
     q["ctr_label_encoded"] = label_codes("moment < TIMESTAMP '2024-01-25'")
+    def logit(step: int) -> str:
+        return " + ".join(f"sin((100 * {i} + {c}) * {step}) / 4" for i, c in enumerate(FIELDS))
+
+    q["ctr_lr_fixed"] = f"""WITH codes AS ({q["ctr_label_encoded"]})
+SELECT event_id, round(1 / (1 + exp(-(-0.5::DOUBLE + {logit(1)}))), 6) AS score FROM codes"""
+    models = " UNION ALL ".join(
+        f"SELECT CAST({m} AS INT) AS model, click, round(1 / (1 + exp(-(-0.5::DOUBLE + {logit(m)}))), 9) AS score FROM marked"
+        for m in (1, 2, 3)
+    )
+    q["ctr_choice_fixed"] = f"""WITH codes AS ({q["ctr_label_encoded"]}), {CLICKS},
+marked AS (
+  SELECT codes.*, click FROM codes JOIN (SELECT event_id, click, moment FROM log) USING (event_id)
+  WHERE moment < TIMESTAMP '2024-01-25' AND {keep("rows", 0.7, "event_id")}
+    AND (click = 1 OR {keep("negatives", 0.2, "event_id")}) AND {keep("valid", 0.15, "event_id")}),
+scored AS ({models}),
+r AS (SELECT model, click, rank() OVER (PARTITION BY model ORDER BY score)
+        + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0::DOUBLE AS r FROM scored),
+s AS (SELECT model, CAST(sum(click) AS DOUBLE) AS p, CAST(count(*) - sum(click) AS DOUBLE) AS n,
+             sum(CASE WHEN click = 1 THEN r END) AS ranks FROM r GROUP BY model),
+a AS (SELECT model, round((ranks - p * (p + 1) / 2) / nullif(p * n, 0), 6) AS auc FROM s)
+SELECT model, auc, CAST(model = (SELECT model FROM a ORDER BY auc DESC, model LIMIT 1) AS INT) AS chosen FROM a"""
     q["ctr_deepfm_fixed"] = deepfm_scores(q["ctr_label_encoded"])
     q["ctr_label_encoded_all"] = label_codes("true")
     q["ctr_first_seen_encoded"] = f"""WITH {CLICKS},

@@ -630,6 +630,36 @@ def ctr_deepfm(spark: SparkSession, sf: str) -> DataFrame:
     return _ctr_result("deepfm", scored)
 
 
+def _fixed_weights(spark: SparkSession, fields: list[str], sizes: list[int], step: int) -> DataFrame:
+    """Weights from a rule, so that SQL can repeat them: one row a field and code."""
+    known = [F.struct(F.lit(c).alias("field"), F.lit(i).alias("f"), F.lit(n).alias("n")) for i, (c, n) in enumerate(zip(fields, sizes))]
+    rows = spark.range(1).select(F.inline(F.array(*known))).select("field", "f", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("code"))
+    return rows.select("field", "code", (F.sin((F.col("f") * 100 + F.col("code")) * step) / 4).alias("weight"))
+
+
+@query
+def ctr_lr_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A logistic model with given weights over the whole log."""
+    coded, fields, sizes = _coded_log(spark, sf, CTR_FIELDS)
+    weights = staged(_fixed_weights(spark, fields, sizes, 1), "weights")
+    return ctr.weighted_scores(coded, fields, weights, -0.5, "event_id").select("event_id", r6("score"))
+
+
+@query
+def ctr_choice_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Three given models by their area on the marked part of the sampled log, and the one that is chosen."""
+    coded, fields, sizes = _coded_log(spark, sf, CTR_FIELDS)
+    valid = staged(ctr.sampled(_fitted_rows(coded), "event_id", "click").filter("part = 'valid'"), "valid")
+    found = []
+    for step in (1, 2, 3):
+        weights = staged(_fixed_weights(spark, fields, sizes, step), "weights")
+        scored = ctr.weighted_scores(valid, fields, weights, -0.5, "click").withColumn("score", F.round("score", 9))
+        found.append(evaluate.auc(staged(scored, "scores"), "click", "score").select(F.lit(step).alias("model"), r6("auc")))
+    areas = staged(found[0].unionByName(found[1]).unionByName(found[2]), "areas")
+    best = areas.agg(F.max(F.struct("auc", -F.col("model"))).alias("b")).select(-F.col("b.col2")).scalar()
+    return areas.withColumn("chosen", (F.col("model") == best).cast("int"))
+
+
 def _fixed_deepfm(sizes: list[int], hidden: tuple[int, int] = (16, 8)) -> deepfm.DeepFM:
     """Weights from a rule, so that SQL can repeat them."""
     model = deepfm.begun(sizes, hidden=hidden)
