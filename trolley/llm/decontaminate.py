@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trolley.llm.quality import text_hash
-from trolley.llm.words import as_bytes, groups_of
+from trolley.llm.words import as_bytes, free, groups_of
 from trolley.sources.scratch import staged
 
 Q = 9
@@ -275,8 +275,11 @@ def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak. A leak lies in the text, so rows are told apart by its hash, not by their doc_id."""
-    hashed = docs.withColumn("_hash", text_hash())
-    leaks = contaminated(hashed.select(F.col("_hash").alias("doc_id"), "text"), benchmark)
-    leaks = leaks.select(F.col("doc_id").alias("_hash")).distinct()
-    return hashed.join(leaks, "_hash", "left_anti").select(*docs.columns)
+    """The documents without a leak. A leak lies in the text, so rows are told apart by its hash, not by their doc_id.
+
+    Columns of any name are kept as they are.
+    """
+    (hash_,) = free(docs, "hash")
+    leaks = contaminated(docs.select(text_hash().alias("doc_id"), "text"), benchmark)
+    leaks = leaks.select(F.col("doc_id").alias(hash_)).distinct()
+    return docs.withColumn(hash_, text_hash()).join(leaks, hash_, "left_anti").select(*docs.columns)

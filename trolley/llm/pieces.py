@@ -62,9 +62,9 @@ class Pieces:
         self.unknown = min(self.rank.values(), default=0.0) - 10.0
         self._apart: dict[int, bool] = {}
         if kind == "bpe":  # a piece that BPE does not make of its own characters never occurs
-            self.usable = {p: (i,) for p, i in self.id_of.items() if self.merged(p) == [p]}
+            self.usable = {p: (p, i, (i,)) for p, i in self.id_of.items() if self.merged(p) == [p]}
         else:
-            self.usable = {p: (i,) for p, i in self.id_of.items()}
+            self.usable = {p: (p, i, (i,)) for p, i in self.id_of.items()}
         self._ends: dict[str, set[int]] = {}
         for piece in self.usable:
             self._ends.setdefault(piece[-3:], set()).add(len(piece))
@@ -99,17 +99,25 @@ class Pieces:
     def _spelled(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_id[b] for b in char.encode())
 
+    def _strange(self, char: str) -> tuple[str, int, tuple[int, ...]]:
+        """The entry of a character that is no piece: it is spelled in bytes."""
+        return char, UNKNOWN + ord(char), self._spelled(char)
+
     def encoded(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct word, in one walk over the sorted words."""
+        """Ids of each distinct word, in one walk over the sorted words.
+
+        A prefix keeps only its last piece, an entry shared by all prefixes that end in it, so memory is linear in
+        the longest word; ids are read backwards from a word's end.
+        """
         return self._bpe(sorted(words)) if self.kind == "bpe" else self._unigram(sorted(words))
 
     def _bpe(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         out: dict[str, tuple[int, ...]] = {}
-        before, last, path = "", [("", 0)], [()]  # per prefix: its last piece with a number, and its ids
-        sizes_of, ids_of, apart = self._sizes, self.usable, self._apart
+        before, last = "", [("", 0, ())]  # per prefix: its last piece, a number for it, and its ids
+        sizes_of, entry_of, apart = self._sizes, self.usable, self._apart
         for word in words:
             shared = _shared(before, word)
-            del last[shared + 1 :], path[shared + 1 :]
+            del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 tail = word[end - 3 : end] if end > 2 else word[:end]
                 for size in sizes_of.get(tail) or self._sizes_at(tail):
@@ -117,45 +125,42 @@ class Pieces:
                     if start < 0:
                         continue
                     piece = word[start:end]
-                    ids = ids_of.get(piece)
-                    if ids is None:
+                    entry = entry_of.get(piece)
+                    if entry is None:
                         if size > 1:
                             continue
-                        ids, number = self._spelled(piece), UNKNOWN + ord(piece)
-                    else:
-                        number = ids[0]
+                        entry = self._strange(piece)
                     if start:
                         left = last[start]
-                        pair = left[1] << 32 | number
+                        pair = left[1] << 32 | entry[1]
                         fits = apart.get(pair)
                         if not (self._meets(pair, left[0], piece) if fits is None else fits):
                             continue
-                    last.append((piece, number))
-                    path.append(path[start] + ids)
+                    last.append(entry)
                     break
-            out[word] = path[-1]
+            out[word] = _read_back(last)
             before = word
         return out
 
     def _unigram(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         out: dict[str, tuple[int, ...]] = {}
-        before, sums, path = "", [0.0], [()]  # per prefix: the best sum and its ids
+        before, sums, last = "", [0.0], [("", 0, ())]  # per prefix: the best sum and the last piece of its path
         for word in words:
             shared = _shared(before, word)
-            del sums[shared + 1 :], path[shared + 1 :]
+            del sums[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best, chosen = -np.inf, ()
+                best, chosen = -np.inf, None
                 for start in range(max(0, end - self.longest), end):
                     piece = word[start:end]
-                    ids = self.usable.get(piece)
-                    if ids is None and end - start > 1:
+                    entry = self.usable.get(piece)
+                    if entry is None and end - start > 1:
                         continue
-                    total = sums[start] + (self.unknown if ids is None else self.rank[piece])
+                    total = sums[start] + (self.unknown if entry is None else self.rank[piece])
                     if total > best:
-                        best, chosen = total, path[start] + (ids or self._spelled(piece))
+                        best, chosen = total, entry or self._strange(piece)
                 sums.append(best)
-                path.append(chosen)
-            out[word] = path[-1]
+                last.append(chosen)
+            out[word] = _read_back(last)
             before = word
         return out
 
@@ -171,6 +176,15 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def _read_back(last: list[tuple[str, int, tuple[int, ...]]]) -> tuple[int, ...]:
+    """The ids of a whole word from the last pieces of its prefixes."""
+    end, path = len(last) - 1, []
+    while end:
+        path.append(last[end][2])
+        end -= len(last[end][0])
+    return tuple(chain.from_iterable(reversed(path)))
+
+
 def _shared(a: str, b: str) -> int:
     """Length of the common prefix."""
     if b.startswith(a):

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trolley.functions.draws import draw
-from trolley.llm.words import as_bytes, groups_of
+from trolley.functions.draws import draw, enough
+from trolley.llm.words import as_bytes, free, groups_of
 from trolley.sources.scratch import staged
 
 LOWER = bytes(range(97, 123))
@@ -168,10 +168,12 @@ def rank(docs: DataFrame, labels: DataFrame, cut: float = 0.7, most_labelled: in
     """
     table = staged(feature_table(docs), "features")
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    drawn = draw("quality", F.col("doc_id"))
     chosen = (
         table.join(known, "doc_id")
         .filter(~held_out(F.col("doc_id")))
-        .select(*FEATURES, "quality", draw("quality", F.col("doc_id")).alias("_draw"), "doc_id")
+        .filter(drawn < enough(known.count(), most_labelled))
+        .select(*FEATURES, "quality", drawn.alias("_draw"), "doc_id")
         .orderBy("_draw", "doc_id", "quality", *FEATURES)
         .limit(most_labelled)
         .toPandas()
@@ -183,8 +185,12 @@ def rank(docs: DataFrame, labels: DataFrame, cut: float = 0.7, most_labelled: in
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject; rows without a doc_id are judged like others."""
+    """The rows of `docs` that the classifier does not reject; rows without a doc_id are judged like others.
+
+    Columns of any name are kept as they are.
+    """
+    id_, hash_ = free(docs, "id", "hash")
     good = rank(docs, labels, cut).filter("predicted = 1")
-    good = good.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = (F.col("_hash") == text_hash()) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    good = good.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = (F.col(hash_) == text_hash()) & F.col("doc_id").eqNullSafe(F.col(id_))
     return docs.join(good, same, "left_semi").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.llm.components import components
 from trolley.llm.quality import text_hash
-from trolley.llm.words import as_bytes, groups_of, words_of
+from trolley.llm.words import as_bytes, free, groups_of, words_of
 from trolley.operators.spread import spread_by
 from trolley.sources.scratch import replaced, staged
 
@@ -418,17 +418,16 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of `docs` for each root of near_copies: the smallest by doc_id (null last) and hash of the text.
 
-    Of rows that repeat both, the first by the other columns is kept.
+    Of rows that repeat both, the first by the other columns is kept. Columns of any name are kept as they are.
     """
+    id_, null_, hash_, n_ = free(docs, "id", "null", "hash", "n")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), "_hash")).alias("_m")
     kept = classes.groupBy("root").agg(least).select("_m.*")
     kind = docs.schema["doc_id"].dataType
     zero = F.lit(0).cast(kind)
-    kept = kept.select(F.coalesce("id", zero).alias("_id"), F.col("null").alias("_null"), F.col("_hash"))
-    keys = ["_id", "_null", "_hash"]
-    known = docs.withColumns(
-        {"_id": F.coalesce("doc_id", zero), "_null": F.col("doc_id").isNull(), "_hash": text_hash()}
-    )
+    kept = kept.select(F.coalesce("id", zero).alias(id_), F.col("null").alias(null_), F.col("_hash").alias(hash_))
+    keys = [id_, null_, hash_]
+    known = docs.withColumns({id_: F.coalesce("doc_id", zero), null_: F.col("doc_id").isNull(), hash_: text_hash()})
     order = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    first = known.join(kept, keys, "left_semi").withColumn("_n", F.row_number().over(order))
-    return first.filter("_n = 1").select(*docs.columns)
+    first = known.join(kept, keys, "left_semi").withColumn(n_, F.row_number().over(order))
+    return first.filter(F.col(n_) == 1).select(*docs.columns)

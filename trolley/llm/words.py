@@ -34,3 +34,14 @@ def groups_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -
             held += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names for an operator's own use, underlined until no column of `docs` has them (in any case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+        taken.add(f"_{name}")
+    return out
