@@ -4,11 +4,14 @@ import base64
 import hashlib
 import math
 import os
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import sentencepiece
 import zstandard
 from pyspark.sql import functions as F
@@ -108,33 +111,55 @@ def divergence(text, lang, known):
             terms = [np.where(a > 0, a * np.log2(a / m), 0).sum() for a in (p, q)]
         return math.sqrt(max(0.0, sum(terms) / 2))
 
-    langs = [lang] if lang in known else list(known)
+    own = known.get(lang, {})
     return tuple(
-        min((distance(counts, known[x][c]) for x in langs), default=0.0) for c, counts in (("chars", sizes), ("common", common))
+        None if own.get(c) is None else distance(counts, own[c]) for c, counts in (("chars", sizes), ("common", common))
     )
 
 
 @needs_tables
 def test_rules_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    kinds = ["абвгдежзиклмнопрст", "etaoinshrdlu", "#$%&*"]  # unlisted, unlabelled and junk texts
+    extra = [
+        (10**6 + i, " ".join("".join(rng.choices(kinds[i % 3], k=5)) for _ in range(210)), ["ru", None, "ru"][i % 3], "s", 0)
+        for i in range(30)
+    ]
     docs = table(spark, "documents").union(
-        spark.createDataFrame([r[:5] for r in HOSTILE], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        spark.createDataFrame(extra + [r[:5] for r in HOSTILE], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     )
-    known = rules.references(staged(rules.statistics(docs)))
+    references = rules.references(staged(rules.statistics(docs))).collect()
+    known = {r.lang: {"chars": r.chars_shares, "common": r.common_shares} for r in references}
     got = rules.judge(docs).collect()
     want = []
     for r in docs.collect():
         counts = base(r.text)
         chars, common = divergence(r.text or "", r.lang, known)
-        strange = (counts[1] >= rules.LEAST_CHARS and chars > rules.MOST_CHAR_DISTANCE) or (
-            counts[0] >= rules.LEAST_COMMON_WORDS and common > rules.MOST_WORD_DISTANCE
+        strange = (counts[1] >= rules.LEAST_CHARS and (chars or 0) > rules.MOST_CHAR_DISTANCE) or (
+            counts[0] >= rules.LEAST_COMMON_WORDS and (common or 0) > rules.MOST_WORD_DISTANCE
         )
-        want.append((r.doc_id, *counts, round(chars, 6), round(common, 6), not counts[-1] and not strange))
+        distances = [None if d is None else round(d, 6) for d in (chars, common)]
+        want.append((r.doc_id, *counts, *distances, not counts[-1] and not strange))
     assert Counter(
         (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
-         round(r.char_distance, 6), round(r.word_distance, 6), r.kept) for r in got
+         *(None if d is None else round(d, 6) for d in (r.char_distance, r.word_distance)), r.kept) for r in got
     ) == Counter(want)
 
 
+def test_languages_without_a_word_list(spark):
+    rng = random.Random(6)
+
+    def text(letters):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(200))
+
+    rows = [(i, text("абвгдежзиклмнопрст"), "ru") for i in range(20)] + [(99, text("#$%&*<>|"), "ru"), (100, text("#$%&"), None)]
+    docs = table(spark, "documents").select("doc_id", "text", "lang").filter("lang <> 'ru'")
+    got = {r.doc_id: r for r in rules.judge(docs.union(spark.createDataFrame(rows, docs.schema).withColumn("doc_id", F.col("doc_id") + 10**6))).collect()}
+    assert all(got[10**6 + i].kept and got[10**6 + i].word_distance is None for i in range(20))
+    assert not got[10**6 + 99].kept and got[10**6 + 99].char_distance > rules.MOST_CHAR_DISTANCE
+    assert got[10**6 + 100].kept and got[10**6 + 100].char_distance is None
+
+
 def test_many_repeated_triples(spark):
     text = " ".join(f"w{i % 301}" for i in range(1500)) + " tail " + " ".join(f"x{i}" for i in range(40))
     got = rules.statistics(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
@@ -180,7 +205,7 @@ def test_pieces_of_a_text_rebuild_it(spark):
     for r in docs.select("text", secrets.pieces(F.col("text")).alias("p")).collect():
         assert len(r.p.gaps) == len(r.p.found) + 1
         assert "".join(g + f for g, f in zip(r.p.gaps, [*r.p.found, ""])) == r.text
-        assert r.p.found == re.findall(secrets.CANDIDATE, r.text)
+        assert r.p.found == regex.findall(secrets.CANDIDATE, r.text)
 
 
 def test_secrets_of_hostile_rows(spark):
@@ -229,6 +254,19 @@ def test_round_trip_of_hostile_rows(spark, model):
     assert pieces.decode(pieces.encode(hostile(spark).limit(0), model), model).count() == 0
 
 
+def test_memory_is_linear_in_a_word(model):
+    """Texts without spaces are single words; a prefix must not hold its whole path."""
+    rng = random.Random(9)
+    word = "".join(rng.choice("abcdefghijklmnop日本語/+") for _ in range(1_000_000))
+    tracemalloc.start()
+    ids = model.encode([word])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and model.decode(ids.tolist()) == word
+    uni = pieces.Pieces(kind="unigram")
+    assert uni.decode(uni.encode([word[:30_000]])[0].tolist()) == word[:30_000]
+
+
 def test_best_path_of_a_unigram_model(model):
     uni = pieces.Pieces(kind="unigram")
 

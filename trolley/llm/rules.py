@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence, as column expressions only.
 
 Every text is counted into two histograms, character classes and common words. Their Jensen-Shannon distance
-to the reference of the text's language, summed from the corpus itself, decides, unless the text is too short
-for its histogram to mean anything. Plain base rules come first.
+to the reference of the text's own language, summed from the corpus itself, decides, unless the text is too short
+for its histogram to mean anything. Every language of the corpus has a reference of character classes, those with a
+list of common words one of words too. Plain base rules come first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from trolley.functions.arrays import count_at_most, probe_steps
 from trolley.llm.words import GAP
 from trolley.sources.scratch import staged
 
-#: The most frequent words of the languages that have a reference.
+#: The most frequent words of the languages that have a word reference.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "as", "with"],
     "fr": ["de", "la", "le", "et", "les", "des", "un", "que", "en", "du", "est", "pour", "qui", "dans"],
@@ -117,46 +118,37 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(stats: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """Per language with a word list: the summed histograms of its documents that pass the base rules, as shares.
+def references(stats: DataFrame) -> DataFrame:
+    """(lang, chars_shares, common_shares): the summed histograms of a language's documents that pass the base rules.
 
-    One aggregate over all documents, which should be a stored table; at most one row a listed language reaches the driver.
+    One aggregate over all documents, which should be a stored table. A language without a word list has null for
+    common_shares; null is no language.
     """
     wide = {"chars": len(CLASSES) + 1, "common": len(WORDS) + 1}
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in wide.items() for i in range(n)]
-    rows = stats.filter(F.col("lang").isin(list(COMMON)) & ~base_failed()).groupBy("lang").agg(*sums).collect()
-    out = {}
-    for r in rows:
-        counts = {c: [r[f"{c}{i}"] for i in range(n)] for c, n in wide.items()}
-        out[r["lang"]] = {c: [v / max(1, sum(x)) for v in x] for c, x in counts.items()}
-    return out
+    sums = [F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c) for c, n in wide.items()]
+    summed = stats.filter(F.col("lang").isNotNull() & ~base_failed()).groupBy("lang").agg(*sums)
 
+    def shares(name: str) -> Column:
+        total = F.greatest(F.aggregate(name, F.lit(0).cast("bigint"), lambda a, c: a + c), F.lit(1))
+        return F.transform(name, lambda c: c / total)
 
-def distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance, 0 to 1, of a histogram of counts to reference shares."""
+    listed = F.when(F.col("lang").isin(list(COMMON)), shares("common"))
+    return summed.select("lang", shares("chars").alias("chars_shares"), listed.alias("common_shares"))
+
+
+def distance(counts: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance, 0 to 1, of a histogram of counts to reference shares; null without a reference."""
 
     def terms(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
     def against(total: Column) -> Column:
-        shares = F.array(*[F.lit(float(q)) for q in reference])
         parts = F.zip_with(counts, shares, lambda c, q: terms(c / total, q))
         return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
     total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c)
-    return F.when(total > 0, _let(total, against)).otherwise(F.lit(1.0))
-
-
-def nearest(column: str, known: dict[str, dict[str, list[float]]]) -> Column:
-    """Distance to the reference of the row's language; of an unlisted language, to the nearest reference."""
-    if not known:
-        return F.lit(0.0)
-    each = {lang: distance(F.col(column), known[lang][column]) for lang in sorted(known)}
-    out = F.least(*each.values()) if len(each) > 1 else next(iter(each.values()))
-    for lang, d in each.items():
-        out = F.when(F.col("lang") == lang, d).otherwise(out)
-    return out
+    return F.when(shares.isNotNull(), F.when(total > 0, _let(total, against)).otherwise(F.lit(1.0)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -164,17 +156,18 @@ def judge(docs: DataFrame) -> DataFrame:
     word_distance, kept) of every row.
 
     Null texts count as empty and fail the base rules by their length. Texts under LEAST_CHARS characters or
-    LEAST_COMMON_WORDS words are not judged by the histogram that needs more. Without any reference (no listed
-    language, empty table) all distances are 0. Repeated rows are judged alike; further columns are ignored.
+    LEAST_COMMON_WORDS words are not judged by the histogram that needs more. A distance is null, and no ground to
+    drop a row, where there is no reference: without a language, for words of a language without a list, and for a
+    language all of whose documents fail the base rules. Repeated rows are judged alike; further columns are ignored.
     """
     stats = staged(statistics(docs), "rules")
-    known = references(stats)
-    judged = stats.select(
+    judged = stats.join(references(stats), "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"),
-        nearest("chars", known).alias("char_distance"),
-        nearest("common", known).alias("word_distance"),
+        distance(F.col("chars"), F.col("chars_shares")).alias("char_distance"),
+        distance(F.col("common"), F.col("common_shares")).alias("word_distance"),
     )
     strange = (F.col("word_chars") >= LEAST_CHARS) & (F.col("char_distance") > MOST_CHAR_DISTANCE)
-    strange = strange | ((F.col("n_words") >= LEAST_COMMON_WORDS) & (F.col("word_distance") > MOST_WORD_DISTANCE))
+    words = (F.col("n_words") >= LEAST_COMMON_WORDS) & (F.col("word_distance") > MOST_WORD_DISTANCE)
+    strange = F.coalesce(strange, F.lit(False)) | F.coalesce(words, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~strange)
