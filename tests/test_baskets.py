@@ -1,10 +1,12 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import A, B, C, D, LINES, ORDERS, items, lines, orders, rows
+from trolley.functions import arrays, draws
 from trolley.functions.arrays import count_at_most, joined, pad, parse_array, probe_steps
 from trolley.operators import baskets, features, sampling, spread, stats
 from trolley.sources.views import prior, train
@@ -173,3 +175,26 @@ def test_hot_key_join(spark):
         names = ("k", "v", "name")
         found = spread.hot_key_join(left, right, "k", how).fillna("-")
         assert rows(found, *names) == rows(left.join(right, "k", how).fillna("-"), *names)
+
+
+def test_draws_inside_a_task_are_those_of_the_columns(spark):
+    """Positions drawn in Python equal the column draws and probes, with null keys and repeated items."""
+    pairs = [(1, 7), (None, 7), (123456789012, None), (5, -3)]
+    table = spark.createDataFrame(pairs, "a bigint, b bigint").withColumn("d", F.explode(F.sequence(F.lit(9), F.lit(13))))
+    want = [r[0] for r in table.select(draws.draw("t", F.col("a"), F.col("b"), F.col("d"))).collect()]
+    assert draws.draws("t", *zip(*pairs), [range(9, 14)] * 4).tolist() == want
+    lists = [[3, 5, 9], [4, 4, 3, 8, 8], [], [7]]
+    probes = spark.createDataFrame([(v, x) for v in lists for x in range(11)], "v array<bigint>, x bigint")
+    counted = probes.select(arrays.count_at_most(F.col("v"), arrays.probe_steps(F.size("v")), F.col("x"))).collect()
+    sizes, ends = np.array([len(v) for v in lists]), np.cumsum([len(v) for v in lists])
+    own = np.repeat(np.arange(4), 11)
+    found = arrays.at_most_counts(np.array(sum(lists, [])), (ends - sizes)[own], sizes[own], np.tile(np.arange(11), 4))
+    assert found.tolist() == [r[0] for r in counted]
+
+
+def test_drawn_lists_hold_with_repeated_lines_and_items_without_id(spark):
+    table = spark.createDataFrame([(1, 2), (1, 2), (1, None), (2, 3)], "order_id bigint, product_id bigint")
+    found = sampling.distinct_negatives(table, items(spark, range(40)), n=30).collect()
+    assert Counter((r.order_id, r.product_id) for r in found) == Counter([(1, 2), (1, 2), (1, None), (2, 3)])
+    assert all(len(set(r.negatives)) == 30 for r in found if r.order_id == 2)
+    assert all(len(r.candidates) == 5 and r.labels == [0] * 4 + [1] for r in sampling.uniform_negatives(table, items(spark, range(40)), k=4).collect())
