@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.functions.dates import hour_parts
 from trolley.functions.draws import keep
+from trolley.operators import perceptron
 from trolley.operators.spread import ROWS_PER_RANGE, global_running_total, hot_key_join
 from trolley.sources.scratch import staged
 
@@ -218,9 +219,7 @@ def fit_fm(train: DataFrame, label: str = "click", factors: int = 8, iters: int
 
 def fit_mlp(train: DataFrame, label: str = "click", hidden: Sequence[int] = (128, 64), iters: int = 20, seed: int = 0):
     """Multilayer perceptron: the deep half."""
-    width = train.select("features").first()[0].size
-    layers = [width, *hidden, 2]
-    return MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=iters, seed=seed).fit(train)
+    return perceptron.fit(train, label, hidden, iters, seed)
 
 
 def scores(model, df: DataFrame, *keep_columns: str) -> DataFrame:
