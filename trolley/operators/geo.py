@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trolley.functions import geocells as g
-from trolley.operators.spread import hot_key_join
+from trolley.operators.spread import hot_key_join, spread_by
 from trolley.operators.topk import top_k
 
+# A tile is 8 x 8 cells.
+TILE_BITS = 3
+
 
 def with_cell(points: DataFrame, precision: int) -> DataFrame:
     """Points with grid coordinates `x`, `y`."""
@@ -84,6 +87,25 @@ def proximity_join(left: DataFrame, right: DataFrame, precision: int) -> DataFra
     )
 
 
+def _sums_around(per_cell: DataFrame, precision: int) -> DataFrame:
+    """Sums of `n` (x, y, product_id) over a cell and the eight around: (x, y, product_id, cnt).
+
+    Cells lie in tiles. A row is sent to the tiles that its block touches, one for most cells, and copied to the
+    cells there, so the nine copies are made and summed without being sent. A group holds a tile's cells of an item.
+    """
+
+    def tile(cell) -> list:
+        return [F.shiftright(cell[a], TILE_BITS).alias(f"t{a}") for a in ("x", "y")]
+
+    block = g.block(F.col("x"), F.col("y"), precision)
+    touched = F.explode(F.array_distinct(F.transform(block, lambda c: F.struct(*tile(c))))).alias("tile")
+    sent = per_cell.select("x", "y", "product_id", "n", touched).select("x", "y", "product_id", "n", "tile.*")
+    here = F.filter(block, lambda c: (tile(c)[0] == F.col("tx")) & (tile(c)[1] == F.col("ty")))
+    copies = spread_by(sent, "tx", "ty", "product_id").select("tx", "ty", "product_id", "n", F.explode(here).alias("to"))
+    cells = copies.select("tx", "ty", F.col("to.x").alias("x"), F.col("to.y").alias("y"), "product_id", "n")
+    return cells.groupBy("tx", "ty", "x", "y", "product_id").agg(F.sum("n").alias("cnt")).drop("tx", "ty")
+
+
 def cell_hot(points: DataFrame, purchases: DataFrame, precision: int = 5, k: int = 20) -> DataFrame:
     """Items bought most by users in a cell and its neighbours.
 
@@ -93,7 +115,7 @@ def cell_hot(points: DataFrame, purchases: DataFrame, precision: int = 5, k: int
     bought = purchases.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     placed = with_cell(points, precision).select(F.col("id").alias("user_id"), "x", "y")
     per_cell = hot_key_join(bought, placed, "user_id").groupBy("x", "y", "product_id").agg(F.sum("n").alias("n"))
-    around = spread_over_block(per_cell, precision).groupBy("x", "y", "product_id").agg(F.sum("n").alias("cnt"))
+    around = _sums_around(per_cell, precision)
     occupied = placed.select("x", "y").distinct()
     best = top_k(
         around.join(occupied, ["x", "y"], "left_semi"), ["x", "y"], [F.col("cnt").desc(), F.col("product_id").asc()], k
