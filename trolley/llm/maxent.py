@@ -5,8 +5,8 @@ marks), so unseen words have one too. The class softmax has three hashed feature
 of the last two words, and, skipping one, the word before the last. Their weights start at damped log ratios of
 the counted pairs (feature, class) and are trained by gradient updates: each round's tasks sum observed minus
 expected counts over one stripe of the corpus, Spark adds them up, and the step is scaled by the expected
-counts; one epoch covers every training document. Inside a class the softmax has bias features only, whose
-optimum is the smoothed relative count.
+counts; one epoch covers every training document. Tokens of a part with the same features share one softmax.
+Inside a class the softmax has bias features only, whose optimum is the smoothed relative count.
 
 Texts are cut once into parts of about PART_BYTES, stored as word numbers with the part's own word list. Word
 counts are exact over the whole corpus: each part sends its words' 64-bit hashes and counts to buckets, which
@@ -35,7 +35,7 @@ SLOTS = 4096
 FEATURES = 3
 ROUNDS = 4
 PART_BYTES = 8 << 20
-TOKENS_AT_ONCE = 1 << 15
+HISTORIES_AT_ONCE = 1 << 11
 SMOOTH = 0.1
 END = b"\n"  # no word: words hold no white space
 
@@ -176,6 +176,16 @@ def events(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, slots, np.repeat(~np.array(row["held"], bool), sizes)
 
 
+def histories(slots: np.ndarray) -> np.ndarray:
+    """One number for each token's features; tokens of the same number have the same class shares."""
+    return (slots[0] * SLOTS + (slots[1] - SLOTS)) * SLOTS + (slots[2] - 2 * SLOTS)
+
+
+def _slots_of(known: np.ndarray) -> np.ndarray:
+    """The features of `histories` again."""
+    return np.stack([known // (SLOTS * SLOTS), SLOTS + known // SLOTS % SLOTS, 2 * SLOTS + known % SLOTS])
+
+
 def _behind(values: np.ndarray, starts: np.ndarray, n: int, fill: int) -> np.ndarray:
     """The value n tokens back inside the document; `fill` before its first token."""
     out = np.empty_like(values)
@@ -230,6 +240,21 @@ def _observed(row: dict, sums: np.ndarray) -> None:
         sums[lowest : lowest + SLOTS] += n.reshape(SLOTS, CLASSES)
 
 
+def _expected(model: Model, slots: np.ndarray, sums: np.ndarray) -> None:
+    known, times = np.unique(histories(slots), return_counts=True)
+    for at in range(0, len(known), HISTORIES_AT_ONCE):
+        own = _slots_of(known[at : at + HISTORIES_AT_ONCE])
+        p = model.shares(own)
+        p *= times[at : at + HISTORIES_AT_ONCE, None].astype(np.float32)
+        for f, s in enumerate(own):
+            q = p
+            if f:  # histories ascend, and so do their first features
+                order = np.argsort((s % SLOTS).astype(np.uint16), kind="stable")
+                s, q = s[order], p[order]
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            sums[s[first]] += np.add.reduceat(q, first, axis=0)
+
+
 def train(parts: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Weights from one epoch in `rounds` synchronous gradient updates."""
     fields = parts.select("part", "held", "sizes", "hashes", "classes", "ids")
@@ -243,16 +268,8 @@ def train(parts: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int =
         shared = parts.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
         def gradient(row: dict, sums: np.ndarray) -> None:
-            kind, slots, use = events(row)
-            kind, slots = kind[use], slots[:, use]
-            for at in range(0, len(kind), TOKENS_AT_ONCE):
-                own = slots[:, at : at + TOKENS_AT_ONCE]
-                p = shared.value.shares(own)
-                for s in own:
-                    order = np.argsort((s % SLOTS).astype(np.uint16), kind="stable")
-                    s = s[order]
-                    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                    sums[wide + s[first]] += np.add.reduceat(p[order], first, axis=0)
+            _, slots, use = events(row)
+            _expected(shared.value, slots[:, use], sums[wide:])
             _observed(row, sums)
 
         stripe = fields.filter(F.pmod(F.xxhash64("part"), F.lit(rounds)) == r)
@@ -297,12 +314,18 @@ def score(docs: DataFrame) -> DataFrame:
         inside = np.log10((c + SMOOTH) / (model.tokens + SMOOTH * (model.types + 1))[classes])
         kind, slots, _ = events(row)
         chosen = np.empty(len(ids))
-        for at in range(0, len(ids), TOKENS_AT_ONCE):
-            z = model.logits(slots[:, at : at + TOKENS_AT_ONCE])
+        number = histories(slots)
+        order = np.argsort(number, kind="stable")
+        new = np.flatnonzero(np.diff(number[order], prepend=-1))
+        ends = np.append(new, len(ids))
+        for at in range(0, len(new), HISTORIES_AT_ONCE):
+            cuts = ends[at : at + HISTORIES_AT_ONCE + 1]
+            tokens = order[cuts[0] : cuts[-1]]
+            of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            z = model.logits(_slots_of(number[order[cuts[:-1]]]))
             top = z.max(axis=1, keepdims=True)
-            own_class = kind[at : at + TOKENS_AT_ONCE]
             norm = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
-            chosen[at : at + TOKENS_AT_ONCE] = z[np.arange(len(z)), own_class] - norm
+            chosen[tokens] = z[of, kind[tokens]] - norm[of]
         first = np.cumsum(sizes) - sizes
         sums = [np.add.reduceat(v, first) for v in ((c > 0)[ids].astype(np.int64), base[ids], inside[ids] + chosen / np.log(10))]
         return pa.table({
