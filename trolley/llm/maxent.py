@@ -163,14 +163,14 @@ def events(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], np.uint32)
     sizes = np.frombuffer(row["sizes"], np.int32)
     kind = np.frombuffer(row["classes"], np.uint8)[ids]
-    slot = (np.frombuffer(row["hashes"], np.uint64) >> np.uint64(40)).astype(np.int64)[ids] % SLOTS
+    slot = ((np.frombuffer(row["hashes"], np.uint64) >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int32)[ids]
     ends = np.cumsum(sizes)
     starts = ends - sizes
     one, two = _behind(kind, starts, 1, 0), _behind(kind, starts, 2, 0)
     end = int(slot[ends[0] - 1])
     slots = np.stack([
         _behind(slot, starts, 1, end),
-        SLOTS + one.astype(np.int64) * CLASSES + two,
+        SLOTS + one.astype(np.int32) * CLASSES + two,
         2 * SLOTS + _behind(slot, starts, 2, end),
     ])
     return kind, slots, np.repeat(~np.array(row["held"], bool), sizes)
@@ -178,7 +178,7 @@ def events(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def histories(slots: np.ndarray) -> np.ndarray:
     """One number for each token's features; tokens of the same number have the same class shares."""
-    return (slots[0] * SLOTS + (slots[1] - SLOTS)) * SLOTS + (slots[2] - 2 * SLOTS)
+    return (slots[0].astype(np.int64) * SLOTS + (slots[1] - SLOTS)) * SLOTS + (slots[2] - 2 * SLOTS)
 
 
 def _slots_of(known: np.ndarray) -> np.ndarray:
