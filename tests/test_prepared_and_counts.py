@@ -151,3 +151,35 @@ def test_vocabulary_and_head(spark):
     assert rows(ctr.vocabulary(df, ["x", "y"], {"day": 31}), "field", "size", "largest") == [("day", 31, 3), ("x", 3, 3), ("y", 2, 3)]
     assert rows(ctr.vocabulary(df, ["y"]), "field", "size", "largest") == [("y", 2, 2)]
     assert [r.x for r in head(df, [F.col("x").desc(), F.col("y").asc_nulls_last()], 2).collect()] == [3, 2]
+
+
+def _brute(left, right, km):
+    def apart(a, b):
+        (p, q), (r, s) = (map(math.radians, c) for c in (a, b))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return 2 * distance.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    return {i: sum(apart((a, b), place) <= km for place in right) for i, a, b in left}
+
+
+def test_seekers_are_not_rows_a_cube(spark, monkeypatch):
+    """Rows that travel between seekers and cubes follow the tiles; seekers at one place and near the poles count as any."""
+    rng = random.Random(9)
+    right = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(90.0, float(i)) for i in range(30)]
+    left = [(i, 48 + rng.random(), 2 + rng.random()) for i in range(600)] + [(600 + i, 89.9, 12.0 * i) for i in range(30)]
+    left += [(700 + i, 10.0, 20.0) for i in range(40)]
+    sizes, real = {}, distance.staged
+
+    def counted(df, name):
+        table = real(df, name)
+        sizes[name] = sizes.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(distance, "staged", counted)
+    monkeypatch.setattr(distance, "MOST_LEVELS", 1)  # places at the pole cannot be told apart by cutting
+    found = distance.within_distance(
+        spark.createDataFrame(left, "id bigint, lat double, lng double"),
+        spark.createDataFrame([(i, *p) for i, p in enumerate(right)], "id bigint, lat double, lng double"), 1500.0, 20, 300,
+    )
+    assert {r.id: r.n_within for r in found.collect()} == _brute(left, right, 1500.0)
+    assert sizes["front"] < 600 and sizes["met"] < 600
