@@ -198,3 +198,24 @@ def test_drawn_lists_hold_with_repeated_lines_and_items_without_id(spark):
     assert Counter((r.order_id, r.product_id) for r in found) == Counter([(1, 2), (1, 2), (1, None), (2, 3)])
     assert all(len(set(r.negatives)) == 30 for r in found if r.order_id == 2)
     assert all(len(r.candidates) == 5 and r.labels == [0] * 4 + [1] for r in sampling.uniform_negatives(table, items(spark, range(40)), k=4).collect())
+
+
+@pytest.mark.parametrize("ids", [(A, B, C, D), (A, B, C, D, 9)])
+def test_draws_are_not_sent_to_the_columns_they_are_joined_to(spark, ids):
+    """Draws take far more bytes than a basket, so an order's columns come to the basket; the rows are those of a join."""
+    context = spark.createDataFrame(
+        [(1, [1, 2], "x", None), (1, None, None, 0.5), (4, [], "y", 1.0), (8, [3], "z", 2.0), (None, [5], "n", 3.0)],
+        "order_id bigint, basket array<bigint>, name string, days double",
+    )
+    table = lines(spark).unionByName(lines(spark, [(None, A, 1, 0)])).unionByName(lines(spark, [(4, None, 3, 0)]))
+    sampling.CARRIED_AT_ONCE, kept = 30, sampling.CARRIED_AT_ONCE
+    try:
+        for draw in (sampling.distinct_negatives, sampling.uniform_negatives):
+            apart = draw(table, items(spark, ids)).join(context, "order_id")
+            found = draw(table, items(spark, ids), context=context)
+            assert sorted(map(str, found.select(*apart.columns).collect())) == sorted(map(str, apart.collect()))
+            if ids[-1] == D:
+                top = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+                assert "Exchange" not in top and "Join" not in top
+    finally:
+        sampling.CARRIED_AT_ONCE = kept
